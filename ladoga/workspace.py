@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
@@ -37,3 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def broadcast_within(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, so that Spark joins by shuffle.
+
+    The count is a small job over what is usually an aggregate; pass the result of ``cut`` to have nothing run twice.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
