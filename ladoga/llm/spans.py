@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladoga.workspace import cut
+from ladoga.workspace import broadcast_within, cut
 
-GRAM = 48
+#: Long grams rarely stand in unrelated texts by chance, short ones give fewer anchors.
+GRAM = 88
 PIECE = 1_000_000
 PAIRWISE = 48
+SMALL = 50_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -141,8 +143,8 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for text, rows in zip(pdf["text"], pdf["rows"]):
             for r in rows:
-                out.append((r["h"], r["fp"], r["lead"], r["size"], r["dmin"], r["dmax"], text[r["start"] : r["start"] + r["size"]]))
-        yield pd.DataFrame(out, columns=["h", "fp", "lead", "size", "dmin", "dmax", "range"])
+                out.append((r["h"], r["fp"], r["lead"], r["size"], r["dmin"], r["dmax"], r["kinds"], text[r["start"] : r["start"] + r["size"]]))
+        yield pd.DataFrame(out, columns=["h", "fp", "lead", "size", "dmin", "dmax", "kinds", "range"])
 
 
 def _common(a: str, b: str) -> int:
@@ -214,29 +216,33 @@ def shared_intervals(docs: DataFrame, length: int = 200, gram: int = GRAM) -> Da
     linear. Neither way drops a class.
     """
     every = cut(anchors(docs, length, gram))
-    classes = every.groupBy(*KEY).agg(F.min("doc_id").alias("dmin"), F.max("doc_id").alias("dmax"), F.min(F.struct("doc_id", "start")).alias("at"))
-    # a signature in one document only can't be shared
-    by_sign = classes.groupBy("h").agg(F.min("dmin").alias("lo"), F.max("dmax").alias("hi"), F.count(F.lit(1)).alias("kinds")).where("lo <> hi")
-    known = cut(classes.join(by_sign.select("h", "kinds"), "h"))
+    # a signature in one document only can't be shared; pre-aggregated, so a hot signature is a row a task
+    hot = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h")
+    near = cut(every.join(hot, "h", "left_semi"))
+    classes = near.groupBy(*KEY).agg(F.min("doc_id").alias("dmin"), F.max("doc_id").alias("dmax"), F.min_by("start", "doc_id").alias("start"))
+    by_sign = classes.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
+    known = cut(classes.join(by_sign, "h"))
     whole = known.where("dmin <> dmax").select(*KEY, F.lit(0).alias("low"), F.col("size").alias("high"))
-    mixed = known.where("kinds > 1").select("at.doc_id", F.struct(*KEY, "dmin", "dmax", F.col("at.start").alias("start")).alias("r"))
+    mixed = known.where("kinds > 1").select(F.col("dmin").alias("doc_id"), F.struct(*KEY, "dmin", "dmax", "start", "kinds").alias("r"))
     asked = mixed.groupBy("doc_id").agg(F.collect_list("r").alias("rows"))  # at most the anchors of one text
-    schema = "h long, fp long, lead int, size int, dmin long, dmax long, range string"
+    schema = "h long, fp long, lead int, size int, dmin long, dmax long, kinds long, range string"
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    ranges = cut(asked.join(texts, "doc_id").select("text", "rows").mapInPandas(_cut_out, schema).join(by_sign.select("h", "kinds"), "h"))
+    ranges = cut(texts.join(broadcast_within(cut(asked), SMALL), "doc_id").select("text", "rows").mapInPandas(_cut_out, schema))
     few = (
         ranges.where(F.col("kinds") <= PAIRWISE)
         .groupBy("h")
         .agg(F.collect_list(F.struct("fp", "lead", "size", "dmin", "dmax", "range")).alias("rows"))
         .mapInPandas(_compare(length), "h long, fp long, lead int, size int, low int, high int")
     )
-    windows = ranges.where(F.col("kinds") > PAIRWISE).drop("kinds").mapInPandas(
-        _windows(length), "h long, fp long, lead int, size int, dmin long, dmax long, low int, w1 long, w2 long"
+    windows = cut(
+        ranges.where(F.col("kinds") > PAIRWISE)
+        .drop("kinds")
+        .mapInPandas(_windows(length), "h long, fp long, lead int, size int, dmin long, dmax long, low int, w1 long, w2 long")
     )
     twice = windows.groupBy("h", "w1", "w2").agg(F.min("dmin").alias("lo"), F.max("dmax").alias("hi")).where("lo <> hi").select("h", "w1", "w2")
     many = windows.join(twice, ["h", "w1", "w2"]).select(*KEY, "low", (F.col("low") + length).alias("high"))
     found = whole.unionByName(few).unionByName(many).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("parts"))
-    return every.join(found, KEY).select("doc_id", "start", F.explode("parts").alias("p")).select(
+    return near.join(found, KEY).select("doc_id", "start", F.explode("parts").alias("p")).select(
         "doc_id", (F.col("start") + F.col("p.low")).cast("long").alias("start_pos"), (F.col("start") + F.col("p.high")).cast("long").alias("end_pos")
     )
 
