@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladoga.llm import encoding, lines, mainbody, pii, spans
+from ladoga.llm import encoding, lines, mainbody, pii, scan, spans
 from ladoga.workspace import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,6 +108,18 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(_texts(spark, d, *SAID)).select("tbl", "rec_id", "redacted", F.size("spans").alias("items"))
 
 
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Running headers, page numbers, broken words and misread lines of scanned texts."""
+    return scan.found_noise(table(spark, d, "documents", "doc_id", "text", "extracted_text"))
+
+
+@query
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned texts as continuous paragraphs."""
+    return scan.repaired_texts(table(spark, d, "documents", "doc_id", "text", "extracted_text"))
+
+
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Longest runs of characters that stand verbatim, 200 or more at a stretch, in another document."""
