@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladoga.llm import encoding, lines, mainbody, pii, scan, spans
+from ladoga.llm import encoding, lines, mainbody, mixing, packing, pii, scan, spans
 from ladoga.workspace import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,36 @@ def p5_texts(spark: SparkSession, d: str) -> DataFrame:
     return scan.repaired_texts(table(spark, d, "documents", "doc_id", "text", "extracted_text"))
 
 
+@query
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each document, or of each part of one that exceeds the capacity."""
+    return packing.pack(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "pack_specs"))
+
+
+@query
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and the room used for each capacity."""
+    specs = table(spark, d, "pack_specs")
+    return packing.report(packing.pack(table(spark, d, "documents", "doc_id", "text"), specs), specs)
+
+
+def _mix_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "source", "lang", "doc_kind", "text").withColumnRenamed("doc_kind", "topic")
+
+
+@query
+def p7_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix with their repeats."""
+    return mixing.choose(_mix_documents(spark, d), table(spark, d, "mix_targets"))
+
+
+@query
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of each mix."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.choose(_mix_documents(spark, d), targets), targets)
+
+
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Longest runs of characters that stand verbatim, 200 or more at a stretch, in another document."""
