@@ -329,9 +329,10 @@ def corrections(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = ~F.col("word").rlike("[0-9~^*|;¦`#_]")
     mixed = F.col("word").rlike("[a-z]") & F.col("word").rlike("[а-яё]")
     own, other = F.coalesce("own", F.lit(0)), F.coalesce("other", F.lit(0))
+    times = F.when(plain & ~mixed, COMMONER).otherwise(1)  # a digit or a foreign letter in a word speaks for itself
     known = (F.coalesce("texts", F.lit(0)) >= KNOWN) & ~mixed | plain & ~mixed & (own >= KNOWN_IN_SCANS) & (other < COMMONER * own)
     options = F.when(known, F.array(F.struct(F.lit(0.0).alias("score"), F.col("word").alias("candidate")))).otherwise(
-        F.transform(F.slice(F.filter("options", lambda o: (o["candidate"] != F.col("word")) & (o["total"] >= COMMONER * F.least(own, F.lit(50)))), 1, 12), lambda o: F.struct(o["score"].alias("score"), o["candidate"].alias("candidate")))
+        F.transform(F.slice(F.filter("options", lambda o: (o["candidate"] != F.col("word")) & (o["total"] >= times * F.least(own, F.lit(50)))), 1, 12), lambda o: F.struct(o["score"].alias("score"), o["candidate"].alias("candidate")))
     )
     best = best.select("word", options.alias("options")).where(F.size("options") > 0)
     lattice = asks.where("kind = 'word'").join(best, "word")
