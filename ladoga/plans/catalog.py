@@ -6,15 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladoga.workspace import table
+from ladoga.plans import corpus, dialogs, retrieval, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-
-def pages_per_source(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages", "source_id").groupBy("source_id").count()
-
-
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-FLAGSHIP: Query = pages_per_source
+for _module in (corpus, retrieval, dialogs, state):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
+
+FLAGSHIP: Query = QUERIES["hybrid_pipeline"]
