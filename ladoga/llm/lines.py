@@ -39,17 +39,24 @@ def mask(line: Column) -> Column:
     return F.regexp_replace(line, "[\\w.+-]+@[\\w.-]+|\\b[\\w-]+(\\.[\\w-]+)+\\b", "\u0003")
 
 
-def _shingles(line: Column) -> Column:
-    words = F.split(line, " ")
+def _shingles(words: str) -> Column:
+    """Hashes of the five-word shingles of a column of words; fewer words are one shingle."""
     n = F.size(words)
-    return F.when(n <= SHINGLE, F.array(F.xxhash64(line))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))
-    )
+    return F.when(n <= SHINGLE, F.array(F.xxhash64(words))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))))
+
 
+def _buckets(masked: DataFrame) -> DataFrame:
+    """``masked`` once for each band, with the hash of the band's min-hashes.
 
-def _bands(shingles: Column) -> Column:
-    least = lambda j: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, F.lit(j))))
-    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+    The words are a column that several expressions refer to, and the min-hashes are folded in one pass over the
+    shingles, so that neither is evaluated anew for every hash function.
+    """
+    start = F.array_repeat(F.lit((1 << 63) - 1), BANDS * ROWS)
+    seeds = F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1))
+    mins = F.aggregate(_shingles("words"), start, lambda acc, h: F.zip_with(acc, seeds, lambda m, j: F.least(m, F.xxhash64(h, j))))
+    hashed = masked.withColumn("words", F.split("masked", " ")).withColumn("mins", mins)
+    banded = hashed.select("source_id", "masked", "pages", "n", F.xxhash64("masked").alias("id"), "mins", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    return banded.withColumn("bucket", F.xxhash64("source_id", "band", F.slice("mins", F.col("band") * ROWS + 1, ROWS))).drop("mins", "band")
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -61,28 +68,33 @@ def _frequent(pages: Column, n: Column, least: int, share: float) -> Column:
 
 
 def line_counts(pages: DataFrame) -> DataFrame:
-    """``source_id, line, masked, pages, n``: distinct pages of the source with the line, and of the source."""
+    """``source_id, line, pages, n``: distinct pages of the source with the line, and of the source."""
     lined = _pages(pages).select("source_id", F.array_distinct(F.split(normal_text("clean_text"), "\n")).alias("lines"))
     totals = lined.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     counts = lined.select("source_id", F.explode("lines").alias("line")).where("line <> ''").groupBy("source_id", "line").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.withColumn("masked", mask(F.col("line"))).join(broadcast_within(totals, SMALL), "source_id")
+    return counts.join(broadcast_within(totals, SMALL), "source_id")
 
 
 def candidate_clusters(counts: DataFrame, least: int = MIN_PAGES, share: float = MIN_SHARE) -> DataFrame:
-    """``source_id, cluster, masked``: masked lines of near-duplicate clusters that may reach the least frequency."""
-    masked = counts.groupBy("source_id", "masked").agg(F.sum("pages").alias("pages"), F.max("n").alias("n"))
-    banded = masked.withColumn("shingles", _shingles(F.col("masked")))
-    banded = cut(banded.select("source_id", "masked", "pages", "n", "shingles", F.explode(_bands(F.col("shingles"))).alias("band")).drop("shingles"))
-    # the sum over lines bounds the number of pages from above, so no frequent cluster is lost here
+    """``source_id, cluster, masked``: masked lines of near-duplicate clusters that may reach the least frequency.
+
+    Buckets are counted by hashes alone; the texts of lines are looked up only for the buckets that are frequent.
+    """
+    masked = counts.groupBy("source_id", mask(F.col("line")).alias("masked")).agg(F.sum("pages").alias("pages"), F.max("n").alias("n"))
+    hashed = _buckets(masked)
+    buckets = hashed.select("pages", "n", "id", "bucket")
     heads = (
-        banded.groupBy("source_id", "band")
-        .agg(F.sum("pages").alias("most"), F.max("n").alias("n"), F.max_by("masked", F.struct("pages", "masked")).alias("head"))
+        buckets.groupBy("bucket")
+        .agg(F.sum("pages").alias("most"), F.max("n").alias("n"), F.max_by("id", "pages").alias("head"))
         .where(_frequent(F.col("most"), F.col("n"), least, share))
-        .select("source_id", "band", "head")
+        .select("bucket", "head")
     )
-    a, b = _shingles(F.col("masked")), _shingles(F.col("head"))
-    alike = F.size(F.array_intersect(a, b)) >= SIMILARITY * F.size(F.array_union(a, b))
-    return banded.join(heads, ["source_id", "band"]).where((F.col("masked") == F.col("head")) | alike).select("source_id", F.col("head").alias("cluster"), "masked").distinct()
+    heads = broadcast_within(cut(heads), SMALL)
+    members = cut(hashed.join(heads, "bucket").select("source_id", "masked", "id", "head").distinct())
+    first = members.where("id = head").select("source_id", "head", F.col("masked").alias("cluster")).distinct()
+    pairs = members.join(first, ["source_id", "head"]).withColumn("words", F.split("masked", " ")).withColumn("others", F.split("cluster", " "))
+    alike = F.size(F.array_intersect(_shingles("words"), _shingles("others"))) >= SIMILARITY * F.size(F.array_union(_shingles("words"), _shingles("others")))
+    return pairs.where((F.col("masked") == F.col("cluster")) | alike).select("source_id", "cluster", "masked").distinct()
 
 
 def repeated_lines(pages: DataFrame, least: int = MIN_PAGES, share: float = MIN_SHARE, exact: bool = True) -> DataFrame:
@@ -93,7 +105,7 @@ def repeated_lines(pages: DataFrame, least: int = MIN_PAGES, share: float = MIN_
     many repeated lines as its pages have lines. Pages without a source, and empty lines, never count.
     """
     counts = cut(line_counts(pages))
-    members = candidate_clusters(counts, least, share).join(counts, ["source_id", "masked"])
+    members = counts.withColumn("masked", mask(F.col("line"))).join(broadcast_within(cut(candidate_clusters(counts, least, share)), SMALL), ["source_id", "masked"])
     if exact:
         hot = members.where(_frequent(F.col("pages"), F.col("n"), least, share))
         return hot.groupBy("source_id", "line").agg(F.min("cluster").alias("cluster"), F.max("pages").alias("pages"), F.max("n").alias("n"))
