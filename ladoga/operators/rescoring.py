@@ -32,6 +32,8 @@ def url_factor(kind: Column, kinds: list[tuple[str, str, float]] = URL_KINDS) ->
 def rescored(candidates: DataFrame) -> DataFrame:
     """``query_id, id, base, code, section, context, factor, score``: parts of the final score of each candidate.
 
+    The score is rounded half up to 6 digits, with a little added so that a tie in the last digit doesn't depend on the engine.
+
     ``candidates``: query_id, id, score, question, section_title, specialty_code, url, and the topics of both sides.
     """
     terms = question_terms("question")
@@ -41,7 +43,7 @@ def rescored(candidates: DataFrame) -> DataFrame:
     context = F.when(F.coalesce(F.col("topic") == F.col("text_topic"), F.lit(False)), 0.15).otherwise(0.0)
     factor = url_factor(url_kind(F.col("url")))
     parts = candidates.select("query_id", "id", F.col("score").alias("base"), code.alias("code"), F.round(section, 6).alias("section"), context.alias("context"), factor.alias("factor"))
-    return parts.withColumn("score", F.round((F.col("base") + F.col("code") + F.col("section") + F.col("context")) * F.col("factor"), 6))
+    return parts.withColumn("score", F.round((F.col("base") + F.col("code") + F.col("section") + F.col("context")) * F.col("factor") + 1e-9, 6))
 
 
 def without_roots(scored: DataFrame) -> DataFrame:

@@ -98,11 +98,11 @@ def url_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT id, coalesce(nullif(trim(title, ' '), ''), nullif(trim(regexp_replace(regexp_extract(raw_html, '<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), ' '), ''),
+    f"""SELECT id, coalesce(nullif(trim(title, ' '), ''), nullif(trim(regexp_replace(regexp_extract(raw_html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), ' '), ''),
     trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]+)/*$', 1), '-?[0-9]*$', ''), '[-_]+', ' ', 'g'), ' ')) AS title FROM {PAGES}"""
 )
 def page_title(spark: SparkSession, d: str) -> DataFrame:
-    h1 = F.trim(F.regexp_replace(F.regexp_extract("raw_html", "<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", ""))
+    h1 = F.trim(F.regexp_replace(F.regexp_extract("raw_html", "(?s)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", ""))
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(h1, F.lit("")), T.title_from_url("url"))
     return pages(spark, d, "url", "title", "raw_html").select("id", title.alias("title"))
 

@@ -182,7 +182,7 @@ def hybrid_pipeline(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT query_id, id, base, CASE WHEN coalesce(contains(question, specialty_code), false) THEN 0.4 ELSE 0.0 END::DOUBLE AS code,
       round(CASE WHEN len(qt) > 0 THEN 0.15 * len(list_intersect(qt, st)) / len(qt) ELSE 0.0 END, 6) AS section,
       CASE kind WHEN 'root' THEN 0.15 {" ".join(f"WHEN '{n}' THEN {v}" for _, n, v in rescoring.URL_KINDS)} ELSE 1.0 END::DOUBLE AS factor FROM k)
-    SELECT *, round((base + code + section) * factor, 6) AS score FROM s"""
+    SELECT *, round((base + code + section) * factor + 1e-9, 6) AS score FROM s"""
 )
 def score_bonus(spark: SparkSession, d: str) -> DataFrame:
     ranked = _ranked(spark, d).join(asked(spark, d).withColumnRenamed("text", "question"), "query_id")
