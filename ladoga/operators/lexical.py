@@ -6,19 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladoga.functions.text import index_tokens, question_terms
-from ladoga.workspace import broadcast_within
+from ladoga.workspace import broadcast_within, cut
 
 K1, B = 1.2, 0.75
 SMALL = 200_000
 
 
+def indexed(docs: DataFrame) -> DataFrame:
+    """``id, w, length``: the words of each text, written once so that statistics, postings and several rankings read
+    them instead of the texts."""
+    return cut(docs.select("id", index_tokens("text").alias("w")).withColumn("length", F.size("w")))
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is indexed, else its words."""
+    return docs if "w" in docs.columns else docs.select("id", index_tokens("text").alias("w")).withColumn("length", F.size("w"))
+
+
 def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """``id, text`` to ``id, term, tf, length``; with ``only`` (a frame of ``term``) just for those terms.
 
     The terms asked for are joined before anything is shuffled, so an index lookup moves only matching postings.
     """
-    words = docs.select("id", index_tokens("text").alias("w")).withColumn("length", F.size("w"))
-    each = words.select("id", "length", F.explode("w").alias("term"))
+    each = _words(docs).select("id", "length", F.explode("w").alias("term"))
     if only is not None:
         each = each.join(broadcast_within(only.select("term").distinct(), SMALL), "term", "left_semi")
     return each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
@@ -26,7 +36,7 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
 
 def corpus_size(docs: DataFrame) -> tuple[int, float]:
     """Number of texts and their mean length in words."""
-    r = docs.select(F.size(index_tokens("text")).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
+    r = _words(docs).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     return r["n"], r["mean"] or 1.0
 
 
@@ -47,6 +57,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``query_id, id, score, matched`` for every text that has a term of the query; the score is rounded to 6 digits."""
+    docs = docs if "w" in docs.columns else indexed(docs)
     n, mean = corpus_size(docs)
     post = postings(docs, terms)
     weights = term_statistics(post).select("term", idf(F.col("df"), n).alias("idf"))
@@ -70,8 +81,7 @@ def tf_saturation(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25_prefix(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """BM25 of ``query_id, prefix`` (three letters or more): a text's count is that of all words with the prefix."""
     n, mean = corpus_size(docs)
-    words = docs.select("id", index_tokens("text").alias("w")).withColumn("length", F.size("w"))
-    each = words.select("id", "length", F.explode("w").alias("word")).withColumn("head", F.substring("word", 1, 3))
+    each = _words(docs).select("id", "length", F.explode("w").alias("word")).withColumn("head", F.substring("word", 1, 3))
     asked = prefixes.select("prefix").distinct().withColumn("head", F.substring("prefix", 1, 3))
     hits = each.join(broadcast_within(asked, SMALL), "head").where(F.col("word").startswith(F.col("prefix")))
     post = hits.groupBy("id", "prefix").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
@@ -83,8 +93,7 @@ def bm25_prefix(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def phrase_counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """``query_id, id, n``: how often the two-word phrase ``first, second`` of each query stands in each text."""
-    words = docs.select("id", index_tokens("text").alias("w"))
-    pairs = words.select("id", F.explode(F.arrays_zip(F.col("w").alias("first"), F.slice("w", F.lit(2), F.size("w")).alias("second"))).alias("p")).select("id", "p.first", "p.second")
+    pairs = _words(docs).select("id", F.explode(F.arrays_zip(F.col("w").alias("first"), F.slice("w", F.lit(2), F.size("w")).alias("second"))).alias("p")).select("id", "p.first", "p.second")
     return pairs.join(broadcast_within(phrases, SMALL), ["first", "second"]).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -43,6 +43,12 @@ def _saturated(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return lexical.top_k(lexical.tf_saturation(fragments(spark, d), lexical.query_terms(asked(spark, d))), k)
 
 
+def _both(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Both rankings over one index."""
+    index, terms = lexical.indexed(fragments(spark, d)), cut(lexical.query_terms(asked(spark, d)))
+    return lexical.top_k(lexical.bm25(index, terms), k), lexical.top_k(lexical.tf_saturation(index, terms), k)
+
+
 @query(f"WITH {BM25} SELECT term, df, sum(tf)::BIGINT AS cf FROM post JOIN df USING (term) GROUP BY 1, 2")
 def term_statistics(spark: SparkSession, d: str) -> DataFrame:
     return lexical.term_statistics(lexical.postings(fragments(spark, d)))
@@ -100,13 +106,13 @@ RRF = "rrf AS (SELECT query_id, id, round(sum(1.0 / ({k} + rank)), 9) AS score F
 
 @query(f"WITH {BM25}, {RRF.format(k=60)} SELECT query_id, id, score FROM rrf")
 def fuse_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.reciprocal_ranks(_ranked(spark, d), _saturated(spark, d))
+    return fusion.reciprocal_ranks(*_both(spark, d))
 
 
 @query(f"WITH {BM25}, {RRF.format(k=59)} SELECT query_id, id, score FROM rrf")
 def fuse_rrf0(spark: SparkSession, d: str) -> DataFrame:
     """Ranks counted from 0."""
-    return fusion.reciprocal_ranks(_ranked(spark, d), _saturated(spark, d), first=0)
+    return fusion.reciprocal_ranks(*_both(spark, d), first=0)
 
 
 @query(
@@ -114,7 +120,7 @@ def fuse_rrf0(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT query_id, id, score AS l FROM bmr WHERE rank <= 10) FULL JOIN (SELECT query_id, id, score AS s FROM tfr WHERE rank <= 10) USING (query_id, id)"""
 )
 def fuse_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.weighted(_ranked(spark, d), _saturated(spark, d))
+    return fusion.weighted(*_both(spark, d))
 
 
 COV = f"len(list_intersect(terms, {QTERMS.format('text')}))::DOUBLE / len(terms)"
@@ -129,7 +135,7 @@ fused AS (SELECT query_id, id, score, text, rank, round(CASE WHEN len(terms) > 0
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     """Both rankings fused, near duplicates of one address left out, ranked anew, with texts and keyword coverage."""
-    rrf = lexical.top_k(fusion.reciprocal_ranks(_ranked(spark, d), _saturated(spark, d)), 20)
+    rrf = lexical.top_k(fusion.reciprocal_ranks(*_both(spark, d)), 20)
     texts = rrf.join(fragments(spark, d, "url_stable"), "id")
     once = fusion.first_by_prefix(texts, ["url_stable"]).withColumnRenamed("rank", "before")
     ranked = lexical.top_k(once.withColumn("order", -F.col("before")), 20, score="order").drop("order", "before")
