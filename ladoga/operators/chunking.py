@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladoga.functions.text import CODE, YEARS, content_hash, found
+
 
 def fixed_windows(texts: DataFrame, size: int = 800, overlap: int = 100, least: int = 50) -> DataFrame:
     """``id, chunk_index, start, text``: windows of ``size`` characters that overlap; the last one ends with the text, and
@@ -41,3 +43,17 @@ def records(lines: DataFrame, header: str) -> DataFrame:
     parts = F.split("text", "\\n")
     marked = F.transform(parts, lambda x, i: F.struct(i.cast("int").alias("line_no"), x.alias("line"), F.size(F.filter(F.slice(parts, 1, i + 1), lambda y: y.rlike(header))).alias("record")))
     return lines.where("text is not null").select("id", F.explode(marked).alias("l")).select("id", "l.record", "l.line_no", "l.line")
+
+
+def section_fragments(sections: DataFrame, size: int = 600, overlap: int = 150, least: int = 50) -> DataFrame:
+    """Sections ``id, position, title, parent_titles, text`` to fragments with what is known of their place.
+
+    A section of at most ``size`` characters is one fragment; a longer one is cut in overlapping windows, so none is
+    longer. ``chunk_index`` counts the fragments of a page.
+    """
+    keyed = sections.where("text <> ''").select(F.struct("id", "position").alias("k"), "title", "parent_titles", "text")
+    cut = fixed_windows(keyed.select(F.col("k").alias("id"), "text"), size, overlap, least).select(F.col("id").alias("k"), F.col("chunk_index").alias("part"), "text")
+    rows = cut.join(keyed.drop("text"), "k").select("k.id", "k.position", "part", "title", "parent_titles", "text")
+    order = Window.partitionBy("id").orderBy("position", "part")
+    code = F.get(found(F.concat_ws(" ", "parent_titles", "text"), CODE), F.lit(0))
+    return rows.select("id", (F.row_number().over(order) - 1).alias("chunk_index"), "title", "parent_titles", "text", content_hash("text").alias("text_hash"), code.alias("code"), F.get(found("text", YEARS), F.lit(0)).alias("year"))

@@ -164,6 +164,23 @@ def html_tables(spark: SparkSession, d: str) -> DataFrame:
     return html.table_lines(_parsed(spark, d))
 
 
+@query()
+def section_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Pages parsed anew into fragments with their headings, codes and years."""
+    return chunking.section_fragments(html.sections(_parsed(spark, d)))
+
+
+DOMAIN = "regexp_extract(url, '^https?://([^/:?#]+)', 1)"
+
+
+@query(f"SELECT host, allowed, count(*) AS pages FROM (SELECT {DOMAIN} AS host, {DOMAIN} IN (SELECT site FROM sources WHERE enabled) AND NOT regexp_matches(lower(url), '\\.(jpg|png|zip|mp4)$|/login|/search') AS allowed FROM {PAGES}) GROUP BY 1, 2")
+def url_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses by host, and whether they are of an enabled source and none to skip."""
+    sites = table(spark, d, "sources", "site", "enabled").where("enabled").select(F.col("site").alias("host"), F.lit(True).alias("known")).distinct()
+    urls = pages(spark, d, "url").select(F.regexp_extract("url", "^https?://([^/:?#]+)", 1).alias("host"), (~F.lower("url").rlike("\\.(jpg|png|zip|mp4)$|/login|/search")).alias("wanted"))
+    return urls.join(sites, "host", "left").groupBy("host", (F.coalesce("known", F.lit(False)) & F.col("wanted")).alias("allowed")).agg(F.count(F.lit(1)).alias("pages"))
+
+
 REPLIES = "(SELECT DISTINCT turn_id AS id, bot_reply AS text FROM dialog_turns WHERE bot_reply IS NOT NULL)"
 DB_CLAIMS = {
     "code": ("(^|[^0-9.])([0-9]{2}\\.[0-9]{2}\\.[0-9]{2})(?:$|[^0-9.])", 2), "date": ("(^|[^0-9])([0-9]{1,2}\\.[0-9]{1,2}\\.20[0-9]{2})(?:$|[^0-9])", 2),

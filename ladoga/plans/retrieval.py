@@ -209,6 +209,19 @@ def homepage_filter(spark: SparkSession, d: str) -> DataFrame:
     return rescoring.without_roots(_ranked(spark, d).join(frags, "id").join(urls, "page_id")).select("query_id", "id", "kind")
 
 
+@query(
+    f"""WITH {FUSED}, best AS (SELECT query_id, max(coverage) AS coverage FROM fused WHERE rank <= 5 GROUP BY 1),
+    s AS (SELECT query_id, coalesce(coverage, 0) >= 0.6 AS passed FROM {Q} LEFT JOIN best USING (query_id))
+    SELECT count(*) AS questions, sum(passed::INT)::BIGINT AS passed, round(100.0 * sum(passed::INT) / count(*), 2) AS percent, sum(passed::INT) >= 0.8 * count(*) AS gate FROM s"""
+)
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many questions have evidence with most of their words among the first five, and whether that is enough."""
+    best = _fused(spark, d).where("rank <= 5").groupBy("query_id").agg(F.max("coverage").alias("coverage"))
+    s = asked(spark, d).join(best, "query_id", "left").select((F.coalesce("coverage", F.lit(0.0)) >= 0.6).cast("int").alias("p"))
+    out = s.agg(F.count(F.lit(1)).alias("questions"), F.sum("p").alias("passed"))
+    return out.withColumn("percent", F.round(100.0 * F.col("passed") / F.col("questions"), 2)).withColumn("gate", F.col("passed") >= 0.8 * F.col("questions"))
+
+
 VEC = "SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings"
 COSINE = f"""c AS (SELECT q.id AS query_id, r.id, round(list_cosine_similarity(q.v, r.v), 6) AS score FROM ({VEC}) q, ({VEC}) r WHERE q.id % {EVERY} = 0 AND q.id <> r.id)"""
 
@@ -248,3 +261,18 @@ def embedding_status(spark: SparkSession, d: str) -> DataFrame:
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of the evidence that have most of each question's words."""
     return grounding.extractive_answers(cut(fusion.evidence(_fused(spark, d))), asked(spark, d))
+
+
+@query()
+def retried_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions whose evidence doesn't suffice are asked again with synonyms; both results are joined, the better rank kept."""
+    from ladoga.plans.dialogs import SYNONYMS
+
+    index, terms = lexical.indexed(fragments(spark, d)), cut(lexical.query_terms(asked(spark, d)))
+    first = cut(lexical.top_k(lexical.bm25(index, terms), 10))
+    words = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    weak = first.join(words, "query_id").groupBy("query_id").agg(F.max(F.col("matched") / F.col("n")).alias("c")).where("c < 0.6").select("query_id")
+    more = understanding.synonym_expansion(terms.join(weak, "query_id", "left_semi"), spark.createDataFrame(SYNONYMS, "term string, synonym string"))
+    second = lexical.top_k(lexical.bm25(index, more), 10)
+    every = first.unionByName(second).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return lexical.top_k(every, 10)

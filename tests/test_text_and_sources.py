@@ -70,3 +70,11 @@ def test_claims(spark):
     assert got == {"code": True, "money": True, "phone": True, "mail": False, "date": False}
     loose = {r["kind"]: r["supported"] for r in grounding.supported(grounding.claims(said), seen, strict=False).collect()}
     assert loose["code"] is False  # signs within the code are gone from the normalised evidence
+
+
+def test_section_fragments(spark):
+    rows = [(1, 0, "A", ["A"], "x" * 30), (1, 1, "B 54.02.01", ["A", "B 54.02.01"], "слово " * 200), (2, 0, "C", ["C"], ""), (1, 2, "D", ["A", "D"], "y" * 60 + " 2025/2026")]
+    df = spark.createDataFrame(rows, "id long, position int, title string, parent_titles array<string>, text string")
+    got = chunking.section_fragments(df).orderBy("id", "chunk_index").collect()
+    assert [r["chunk_index"] for r in got] == list(range(len(got))) and {r["title"] for r in got} == {"B 54.02.01", "D"}
+    assert max(len(r["text"]) for r in got) <= 600 and got[0]["code"] == "54.02.01" and got[-1]["year"] == "2025/2026"
