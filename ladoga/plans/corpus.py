@@ -59,6 +59,11 @@ def compound_split(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("id", T.compound_parts("text").alias("parts"))
 
 
+@query(rf"SELECT id, list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '^\s*\S+', ''), '(^|[^\p{{L}}\p{{N}}])(\p{{Lu}}\p{{Ll}}+)', 2))) AS names FROM {ASKED}")
+def proper_nouns(spark: SparkSession, d: str) -> DataFrame:
+    return questions(spark, d).select("id", F.array_sort(T.proper_nouns("text")).alias("names"))
+
+
 FRAGS = "(SELECT DISTINCT id, text FROM fragments)"
 
 

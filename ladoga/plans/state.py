@@ -157,3 +157,59 @@ def orphan_fragments(spark: SparkSession, d: str) -> DataFrame:
     no_doc = f.where("document_id is not null").join(table(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "document_id"), "document_id", "left_anti")
     bad = f.where(broken).select("id").unionByName(no_page.select("id")).unionByName(no_doc.select("id")).distinct()
     return f.join(bad, "id").select("id", broken.alias("broken"))
+
+
+@query(
+    f"""WITH k AS (SELECT id, norm FROM (SELECT id, {NK} AS norm, row_number() OVER (PARTITION BY {NK} ORDER BY created_at DESC, id DESC) AS k FROM {CK} WHERE question IS NOT NULL) WHERE k = 1),
+    h AS (SELECT {NORM.format('question')} AS norm, count(*) AS hits, max(received_at) AS last FROM (SELECT DISTINCT request_id, question, received_at FROM chat_requests WHERE question IS NOT NULL) GROUP BY 1)
+    SELECT id, coalesce(hits, 0) AS hits, last FROM k LEFT JOIN h USING (norm)"""
+)
+def hit_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Cached questions with how often and when last they were asked; the questions are counted before the join."""
+    q = table(spark, d, "chat_requests", "request_id", "question", "received_at").where("question is not null").dropDuplicates(["request_id"])
+    hits = q.groupBy(T.normalize("question").alias("norm")).agg(F.count(F.lit(1)).alias("hits"), F.max("received_at").alias("last"))
+    return _latest_keys(spark, d).join(hits, "norm", "left").select("id", F.coalesce("hits", F.lit(0)).alias("hits"), "last")
+
+
+@query("SELECT DISTINCT f.id, f.page_id FROM fragments f WHERE f.page_id IS NULL OR f.page_id NOT IN (SELECT id FROM pages WHERE last_error IS NOT NULL)")
+def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments that are left when the pages whose last fetch failed are deleted."""
+    gone = table(spark, d, "pages", "id", "last_error").where("last_error is not null").select(F.col("id").alias("page_id"))
+    return table(spark, d, "fragments", "id", "page_id").dropDuplicates(["id"]).join(gone, "page_id", "left_anti").select("id", "page_id")
+
+
+@query("SELECT id, site FROM sources WHERE enabled AND id NOT IN (SELECT source_id FROM pages WHERE source_id IS NOT NULL)")
+def sources_without_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sources", "id", "site", "enabled").where("enabled").select("id", "site").join(table(spark, d, "pages", "source_id").withColumnRenamed("source_id", "id"), "id", "left_anti")
+
+
+@query(
+    """SELECT id, json_array_length(parent_titles)::INT AS depth, parent_titles->>'$[0]' AS top FROM (SELECT DISTINCT id, parent_titles FROM fragments) WHERE parent_titles IS NOT NULL"""
+)
+def parent_titles(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "fragments", "id", "parent_titles").where("parent_titles is not null").dropDuplicates(["id"])
+    titles = F.from_json("parent_titles", "array<string>")
+    return f.select("id", F.size(titles).alias("depth"), F.get(titles, F.lit(0)).alias("top"))
+
+
+@query("SELECT id, text_hash FROM (SELECT id, text_hash, row_number() OVER (PARTITION BY array_slice(encode(text), 1, 100) ORDER BY id) AS k FROM (SELECT DISTINCT id, text, text_hash FROM fragments)) WHERE k = 1")
+def dedup_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Of fragments with the same first 100 bytes the one with the smallest id; counted before and after the shuffle."""
+    f = table(spark, d, "fragments", "id", "text", "text_hash").select("id", T.byte_prefix(F.col("text"), 100).alias("prefix"), "text_hash")
+    return f.groupBy("prefix").agg(F.min("id").alias("id"), F.min_by("text_hash", "id").alias("text_hash")).select("id", "text_hash")
+
+
+@query("SELECT id, page_id, substr(text, 1, 500) AS start FROM (SELECT DISTINCT id, page_id, text FROM fragments) WHERE (text LIKE '%общежит%' OR text LIKE '%стипенди%') AND page_id IS NOT NULL")
+def like_search(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "fragments", "id", "page_id", "text").where("page_id is not null")
+    hit = F.contains("text", F.lit("общежит")) | F.contains("text", F.lit("стипенди"))
+    return f.where(hit).select("id", "page_id", F.substring("text", 1, 500).alias("start")).dropDuplicates(["id"])
+
+
+@query(
+    """SELECT model, prompt_version, index_version, count(*) AS entries, min(created_at) AS first, max(created_at) AS last FROM
+    (SELECT DISTINCT id, model, prompt_version, index_version, created_at FROM cache_keys) GROUP BY 1, 2, 3"""
+)
+def cache_versions(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "cache_keys", "id", "model", "prompt_version", "index_version", "created_at").dropDuplicates(["id"])
+    return k.groupBy("model", "prompt_version", "index_version").agg(F.count(F.lit(1)).alias("entries"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
