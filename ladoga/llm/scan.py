@@ -34,7 +34,9 @@ CONFUSIONS: dict[str, tuple[tuple[str, float], ...]] = {
 NOISE = "~^*|;¦`#_"
 INSERTED, REPLACED = 0.01, 0.004
 CYRILLIC, LATIN = "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "abcdefghijklmnopqrstuvwxyzäöüßé"
-EDITS = 3
+#: The model of a misread word: so many confusions, of which so many are letters replaced by noise; so long, with so much noise.
+EDITS, REPLACEMENTS = 3, 2
+LONGEST, NOISES = 60, 4
 #: A word is known if the texts have it this often; without texts, if scans have it this often and no candidate this many times as often.
 KNOWN, KNOWN_IN_SCANS, COMMONER = 2, 3, 6
 #: The most frequent words, sent along so that only the others need a join.
@@ -172,7 +174,8 @@ def words_of(text: str, headers: set[str]) -> tuple[dict[int, str], list[tuple[i
 
 
 def askable(word: str) -> bool:
-    return any(c.isalpha() for c in word) and len(word) <= 60
+    """Whether a token may be a word: it has a letter, and neither more letters nor more noise than words have."""
+    return any(c.isalpha() for c in word) and len(word) <= LONGEST and sum(c in NOISE for c in word) <= NOISES
 
 
 def candidates(word: str) -> dict[str, float]:
@@ -184,9 +187,9 @@ def candidates(word: str) -> dict[str, float]:
     if cyrillic and latin:  # letters of the other alphabet that look alike, all at once
         swap = {a: b for a, cs in CONFUSIONS.items() if len(a) == 1 for b, p in cs if p >= 0.01 and (b in letters) and (a not in letters) and a.isalpha()}
         base["".join(swap.get(c, c) for c in word)] = math.log(0.01)
-    todo = [(w, p, 0, 0) for w, p in base.items()]
+    todo = [(w, p, 0, 0, 0) for w, p in base.items()]
     while todo:
-        w, p, at, edits = todo.pop()
+        w, p, at, edits, replaced = todo.pop()
         if w != word and (w not in out or out[w] < p):
             out[w] = p
         if edits == EDITS:
@@ -194,13 +197,13 @@ def candidates(word: str) -> dict[str, float]:
         for i in range(at, len(w)):
             c = w[i]
             if c in NOISE:
-                rest = [(w[:i] + w[i + 1 :], INSERTED, i)] + [(w[:i] + x + w[i + 1 :], REPLACED, i + 1) for x in letters]
+                todo.append((w[:i] + w[i + 1 :], p + math.log(INSERTED), i, edits + 1, replaced))
+                if replaced < REPLACEMENTS:
+                    todo += [(w[:i] + x + w[i + 1 :], p + math.log(REPLACED), i + 1, edits + 1, replaced + 1) for x in letters]
             else:
                 rest = [(w[:i] + b + w[i + 1 :], q, i + 1) for b, q in CONFUSIONS.get(c, ()) if q and (b in letters or b.isdigit())]
                 rest += [(w[:i] + b + w[i + 2 :], q, i + 1) for b, q in CONFUSIONS.get(w[i : i + 2], ()) if b in letters]
-            for x, q, j in rest:
-                if len(out) < 4000:
-                    todo.append((x, p + math.log(q), j, edits + 1))
+                todo += [(x, p + math.log(q), j, edits + 1, replaced) for x, q, j in rest]
     return out
 
 
@@ -332,7 +335,7 @@ def corrections(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     times = F.when(plain & ~mixed, COMMONER).otherwise(1)  # a digit or a foreign letter in a word speaks for itself
     known = (F.coalesce("texts", F.lit(0)) >= KNOWN) & ~mixed | plain & ~mixed & (own >= KNOWN_IN_SCANS) & (other < COMMONER * own)
     options = F.when(known, F.array(F.struct(F.lit(0.0).alias("score"), F.col("word").alias("candidate")))).otherwise(
-        F.transform(F.slice(F.filter("options", lambda o: (o["candidate"] != F.col("word")) & (o["total"] >= times * F.least(own, F.lit(50)))), 1, 12), lambda o: F.struct(o["score"].alias("score"), o["candidate"].alias("candidate")))
+        F.transform(F.filter("options", lambda o: (o["candidate"] != F.col("word")) & (o["total"] >= times * F.least(own, F.lit(50)))), lambda o: F.struct(o["score"].alias("score"), o["candidate"].alias("candidate")))
     )
     best = best.select("word", options.alias("options")).where(F.size("options") > 0)
     lattice = asks.where("kind = 'word'").join(best, "word")
