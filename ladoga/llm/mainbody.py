@@ -1,13 +1,14 @@
 """The main body of web pages, without what is set around it.
 
 Method: composite text density over the tree of containers. The density of a container is its link-adjusted characters
-per tag; densities of children are summed, the subtree with the largest sum is the body, and within it the containers
-whose density reaches a threshold along the path are kept. Density alone takes a long legal notice for a body and a page
-of links for a menu, so the characters are weighted by two statistics over all pages of a site: a line that stands on
-many pages of the source weighs nothing, and a container weighs as much as containers of its signature (the path of
-elements with attributes) hold page headings and few repeated lines. Where a signature serves for body and furniture
-alike, a container counts if it has no repeated line and doesn't precede the heading. Pages without markup, and layouts
-in which every line is a container of its own, fall back to runs of lines after the heading.
+per tag. What containers have beyond the density of the whole page is summed over subtrees, the smallest subtree with the
+largest sum is the body, and within it the containers whose density reaches the least density on the path from the page
+to it, or that of a container certain to be of the body, are kept. Density alone takes a long legal notice for a body and a page of links for a menu, so the characters are
+weighted by two statistics over all pages of a site: a line that stands on many pages of the source weighs nothing, nor
+does a container whose signature (the path of elements with attributes) holds no page headings but repeated lines; one
+whose signature holds headings and few repeated lines is certain, as is the heading's own where no signature is. Of other
+containers, those weigh that have no repeated line and don't precede the heading, and density decides about them. Pages
+without markup, and layouts in which every line is a container of its own, fall back to runs of lines after the heading.
 """
 
 from __future__ import annotations
@@ -179,35 +180,50 @@ def body_lines(chars, repeated, rows, heading, block, links, tags, parent, path,
         tree = sum(plain.values()) < 8 or sum(m == 1 for m in plain.values()) < FLAT * sum(plain.values())
     if tree:
         all_links = sum(links) / max(1, sum(chars))
-        density = {}
+
+        def dense(c: int, link: int, t: int) -> float:
+            return (c - (1 - all_links) * min(link, c) + 1) / max(1, t)
+
+        density, certain = {}, set()
+        inside = {b: [0, 0, 0] for b in range(len(parent))}  # characters that weigh, those of links, and all tags of each subtree
         for b, ks in blocks.items():
             w = known[b]
             clean = not any(repeated[k] for k in ks)
-            holds = heading in ks
-            if pure:
-                weight = 1.0 if b in pure else 0.0
-            elif holds:
+            after = clean and (heading < 0 or ks[0] > heading)
+            if b in pure or not pure and heading in ks:
+                certain.add(b)
                 weight = 1.0
-            elif w is not None and w["headed"] < HEADED / 5:
-                weight = 0.0
+            elif w is not None and (pure or w["headed"] < HEADED / 5):
+                # a signature without headings is still one of bodies if few of its lines are repeated
+                weight = 1.0 if after and heading >= 0 and w["repeated"] <= PURE else 0.0
             else:
-                weight = 1.0 if clean and (heading < 0 or ks[0] > heading) else 0.0
+                weight = 1.0 if after else 0.0
             c, link = sum(chars[k] for k in ks if not repeated[k] or b in pure), sum(links[k] for k in ks)
-            adjusted = c - (1 - all_links) * min(link, c)
-            density[b] = weight * (adjusted + 1) / max(1, sum(tags[k] for k in ks))
-        total = dict(density)
-        for b in sorted(density, reverse=True):  # children have larger numbers than their parents
-            up = parent[b]
+            own = (c, min(link, c), sum(tags[k] for k in ks))
+            density[b] = weight * dense(*own)
+            up = b
             while up >= 0:
-                total[up] = total.get(up, 0.0) + density[b]
+                inside[up] = [x + y for x, y in zip(inside[up], (weight * own[0], weight * own[1], own[2]))]
+                up = parent[up]
+        composite = {b: dense(*x) for b, x in inside.items()}
+        # a container speaks for the subtrees that hold it by what it has beyond the page's own density
+        total = dict.fromkeys(inside, 0.0)
+        for b, d in density.items():
+            up = b
+            while up >= 0 and d > composite[0]:
+                total[up] += d - composite[0]
                 up = parent[up]
         best = max(total, key=lambda b: (total[b], b))
-        if total[best] > 0:
+        least, up = composite[best], parent[best]
+        while up >= 0:
+            least, up = min(least, composite[up]), parent[up]
+        least = min([least, *(density[b] for b in certain)])
+        if any(density.values()):
             for b, ks in blocks.items():
                 up = b
                 while up != best and up >= 0:
                     up = parent[up]
-                if up == best and density[b] > 0:
+                if b in certain or up == best and density[b] > 0 and density[b] >= least:
                     for k in ks:
                         out[k] = True
             return out

@@ -1,4 +1,4 @@
-from ladoga.llm.mainbody import bodies_of, main_bodies
+from ladoga.llm.mainbody import bodies_of, body_lines, main_bodies
 from ladoga.llm.markup import read
 
 
@@ -42,3 +42,23 @@ def test_markup():
     p = read("<title>A &amp; B</title><body><div><p>one<b> two</b><p>three</div><table><tr><td>x</td><td>y</td></tr></table>tail<!-- <p>no --><style>p{}</style>")
     assert p.title == "A & B" and [x.text for x in p.lines] == ["one two", "three", "x\ty", "tail"]
     assert read("").lines == [] and read("< & <<p>").lines[0].text
+
+
+def lines_of(blocks, heading, weights, parent=(-1, 0, 0, 0, 0)):
+    """body_lines() of one page given as (container, characters, link characters, tags) of each line."""
+    block, chars, links, tags = (list(x) for x in zip(*blocks))
+    n = len(blocks)
+    return body_lines(chars, [False] * n, [False] * n, heading, block, links, tags, list(parent), ["", "/a", "/b", "/c", "/d"], weights, lambda k: False)
+
+
+def test_density_decides_where_signatures_say_nothing():
+    text = [(1, 20, 0, 2), (1, 300, 0, 2), (1, 250, 0, 2)]
+    menu = [(3, 12, 12, 4)] * 4
+    assert lines_of(text + [(2, 400, 0, 2), (2, 200, 0, 2)] + menu, 0, {}) == [True] * 5 + [False] * 4
+    # without a heading too
+    assert lines_of(menu + [(4, 400, 0, 2), (4, 200, 0, 2)], -1, {}) == [False] * 4 + [True] * 2
+
+
+def test_text_beside_the_container_of_the_heading():
+    weights = {"/a": {"headed": 1.0, "repeated": 0.0}, "/b": {"headed": 0.0, "repeated": 0.0}, "/c": {"headed": 0.0, "repeated": 0.9}}
+    assert lines_of([(1, 20, 0, 2), (2, 400, 0, 2), (2, 200, 0, 2), (3, 300, 0, 2)], 0, weights) == [True] * 3 + [False]
