@@ -4,8 +4,8 @@ Method: noisy-channel correction. Words and pairs of words are counted over all
 text that the counts don't know is taken for a misreading of another: candidates come from a table of confusions of the
 recognition, each with its probability, and a line's words are chosen together by Viterbi over candidates, confusion
 probability times likelihood of the word pairs. Before that, running headers, page numbers and hyphens at line ends are
-told from body lines: headers by how often a form of line comes back within one document, over all documents; bare page
-numbers as the longest run of numbers counting up by one.
+told from body lines: headers by how often a form of line comes back at borders of pages within one document, or within
+documents over all of them; bare page numbers as the longest run of numbers counting up by one.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ KNOWN, KNOWN_IN_SCANS, COMMONER = 2, 3, 6
 #: The most frequent words, sent along so that only the others need a join.
 FREQUENT = 50_000
 SMALL = 200_000
-#: A form of line is a running header if it stands in so many documents and comes back in this share of them.
+#: A form of line is a running header of a document that has it so many times at borders of pages; and of any document if
+#: it stands in so many documents and comes back in this share of them.
+HEADER_TIMES = 3
 HEADER_DOCUMENTS, HEADER_SHARE = 3, 0.3
 HYPHENS = "-‐‑­¬"
 
@@ -79,6 +81,7 @@ PAGE = re.compile(
 )
 ROMAN = re.compile(r"^[IVXLC]{1,8}$")
 BARE = re.compile(r"^[\dl]{1,3}$")
+_NUMBERED = re.compile(rf"^{_N}\s{{2,}}|\s{{2,}}{_N}$")
 
 
 def structure(text: str, headers: set[str]) -> tuple[list[str], dict[int, str]]:
@@ -96,7 +99,7 @@ def structure(text: str, headers: set[str]) -> tuple[list[str], dict[int, str]]:
             numbered |= not ROMAN.match(line)
         elif headers and (key := head_form(raw)) in headers:
             kinds[i] = "header"
-            numbered |= bool(re.search(rf"^{_N}\s{{2,}}|\s{{2,}}{_N}$", line))
+            numbered |= bool(_NUMBERED.search(line))
     heads = {form(_ALONE.match(plain[i]).group(1)) for i, k in kinds.items() if k == "header"}
     if heads:
         sizes = {len(h) for h in heads}
@@ -220,28 +223,44 @@ def word_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, cut(both.groupBy("word").agg(F.sum("in_texts").alias("in_texts"), F.sum("in_scans").alias("in_scans")))
 
 
+def head_forms(text: str) -> list[tuple[str, int, int]]:
+    """Of each head form of a text: whether a line of it comes back, and whether one does so at borders of pages often
+    enough to be a running header by itself."""
+    lines = text.split("\n")
+    plain = [x.strip("\x0c\r \t") for x in lines]
+    full = [i for i, x in enumerate(plain) if x]
+    whole: dict[tuple[str, str], int] = {}
+    borders: dict[tuple[str, str], int] = {}
+    for at, i in enumerate(full):
+        if not (key := head_form(lines[i])):
+            continue
+        own = key, form(_ALONE.match(lines[i].strip("\x0c\r ")).group(1))
+        whole[own] = whole.get(own, 0) + 1
+        before, after = full[at - 1] if at else -1, full[at + 1] if at + 1 < len(full) else len(lines)
+        near = [plain[j] for j in (before, after) if 0 <= j < len(lines)]
+        if (
+            at in (0, len(full) - 1) or _NUMBERED.search(plain[i]) or any("\x0c" in x for x in lines[before + 1 : after + 1])
+            or any(PAGE.match(x) or ROMAN.match(x) or BARE.match(x) for x in near)
+        ):
+            borders[own] = borders.get(own, 0) + 1
+    again = {k for (k, _), n in whole.items() if n > 1}
+    alone = {k for (k, _), n in borders.items() if n >= HEADER_TIMES}
+    return [(k, int(k in again), int(k in alone)) for k in dict.fromkeys(k for k, _ in whole)]
+
+
 def _head_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for i, text in zip(pdf["doc_id"], pdf["extracted_text"]):
-            whole: dict[tuple[str, str], int] = {}
-            for line in text.split("\n"):
-                if key := head_form(line):
-                    own = key, form(_ALONE.match(line.strip("\x0c\r ")).group(1))
-                    whole[own] = whole.get(own, 0) + 1
-            seen: dict[str, int] = {}
-            for (key, _), n in whole.items():
-                seen[key] = max(seen.get(key, 0), n)
-            out += [(i, k, int(n > 1)) for k, n in seen.items()]
-        yield pd.DataFrame(out, columns=["doc_id", "head", "again"])
+        out = [(i, *x) for i, text in zip(pdf["doc_id"], pdf["extracted_text"]) for x in head_forms(text)]
+        yield pd.DataFrame(out, columns=["doc_id", "head", "again", "alone"])
 
 
 def headers(scans: DataFrame) -> DataFrame:
-    """``doc_id, heads``: of each document the forms that are running headers over all documents."""
-    forms = cut(scans.mapInPandas(_head_forms, "doc_id long, head string, again int"))
+    """``doc_id, heads``: of each document the forms that are running headers, by the document itself or over all."""
+    forms = cut(scans.mapInPandas(_head_forms, "doc_id long, head string, again int, alone int"))
     often = forms.groupBy("head").agg(F.count(F.lit(1)).alias("docs"), F.sum("again").alias("again"))
     often = often.where((F.col("docs") >= HEADER_DOCUMENTS) & (F.col("again") >= HEADER_SHARE * F.col("docs"))).select("head")
-    return forms.join(often, "head").groupBy("doc_id").agg(F.collect_set("head").alias("heads"))
+    heads = forms.where("alone = 0").join(often, "head").select("doc_id", "head").unionByName(forms.where("alone = 1").select("doc_id", "head"))
+    return heads.groupBy("doc_id").agg(F.collect_set("head").alias("heads"))
 
 
 ASK = "doc_id long, line int, line2 int, cut int, place int, word string, sign string, before string, after string, kind string"

@@ -39,3 +39,11 @@ def test_candidates_and_viterbi():
 def test_bare_numbers_that_count_up():
     text = "\n".join(["слово"] * 5 + ["7"] + ["слово"] * 5 + ["8"] + ["слово", "", "2020", "31", "", "слово", "9"])
     assert [i for i, k in scan.structure(text, set())[1].items() if k == "page_number"] == [5, 11, 18]
+
+
+def test_header_of_one_document(spark):
+    page = ["слово за словом идёт по строке", "и ещё одна строка текста", ""]
+    text = "\n".join(x for n in (1, 2, 3) for x in ["Устав лицея", *page, "Общие правила", *page, f"— {n} —"])
+    docs = spark.createDataFrame([(1, " ".join(page) + " устав лицея общие правила", text)], "doc_id long, text string, extracted_text string")
+    got = {(r["line_no"], r["kind"]) for r in scan.found_noise(docs).collect()}
+    assert got == {(n, "header") for n in (9, 18)} | {(0, "header")} | {(n, "page_number") for n in (8, 17, 26)}
