@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladoga.workspace import broadcast_within, cut
@@ -326,6 +326,25 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "place", "chosen"])
 
 
+def _pairs_asked(rows: str) -> Column:
+    """The pairs ``a, b`` that the lattice of a document asks for: candidates of neighbouring places, and at both ends of a
+    run of them the known words there."""
+
+    def of(x: Column, i: Column) -> Column:
+        last, following = F.get(rows, i - 1), F.get(rows, i + 1)
+        here = x["options"]["candidate"]
+        before = F.when(F.coalesce(last["place"] == x["place"] - 1, F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(x["before"]))
+        after = F.when(following["place"] == x["place"] + 1, following["options"]["candidate"]).otherwise(F.array(x["after"]))
+        asked = F.concat(_cross(before, here), _cross(here, after))
+        return F.when((F.size(here) > 1) | (F.size(after) > 1), asked).otherwise(F.filter(asked, lambda p: F.lit(False)))
+
+    return F.flatten(F.transform(rows, of))
+
+
+def _cross(a: Column, b: Column) -> Column:
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
 def corrections(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kinds of lines ``doc_id, line, kind``, and of each word that is over two lines or unknown what it should be:
     ``doc_id, line, line2, cut, place, word, sign, chosen, own``."""
@@ -358,11 +377,10 @@ def corrections(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     best = best.select("word", options.alias("options")).where(F.size("options") > 0)
     lattice = asks.where("kind = 'word'").join(best, "word")
+    rows = lattice.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "before", "after", "options"))).alias("rows"))
     # likelihood of pairs, looked up only where a place has a choice
-    sides = lattice.where(F.size("options") > 1).select("doc_id", F.explode("options.candidate").alias("c"), "before", "after")
-    wanted = sides.select("doc_id", F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("c").alias("b")), F.struct(F.col("c").alias("a"), F.col("after").alias("b")))).alias("p")).select("doc_id", "p.*").distinct()
+    wanted = rows.select("doc_id", F.explode(_pairs_asked("rows")).alias("p")).select("doc_id", "p.*").distinct()
     likely = wanted.join(pairs, ["a", "b"]).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", F.log1p("n").alias("score"))).alias("pairs"))
-    rows = lattice.groupBy("doc_id").agg(F.collect_list(F.struct("place", "before", "after", "options")).alias("rows"))
     chosen = rows.join(likely, "doc_id", "left").mapInPandas(_decode, "doc_id long, place int, chosen string")
     owned = (
         asks.where("kind = 'own'").select("doc_id", "place", "word").join(counts, "word").groupBy("doc_id", "place").agg(F.max(total).alias("own"))

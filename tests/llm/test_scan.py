@@ -47,3 +47,9 @@ def test_header_of_one_document(spark):
     docs = spark.createDataFrame([(1, " ".join(page) + " устав лицея общие правила", text)], "doc_id long, text string, extracted_text string")
     got = {(r["line_no"], r["kind"]) for r in scan.found_noise(docs).collect()}
     assert got == {(n, "header") for n in (9, 18)} | {(0, "header")} | {(n, "page_number") for n in (8, 17, 26)}
+
+
+def test_neighbouring_misread_words_are_chosen_together(spark):
+    texts = ["кит дым"] * 3 + ["кот"] * 4 + ["дом"] * 4 + ["вот", "там"] * 4  # each alone is more frequent as another word
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(100, None, "вот к~т д~м там")], "doc_id long, text string, extracted_text string")
+    assert scan.repaired_texts(docs).head()["repaired"] == "вот кит дым там"
