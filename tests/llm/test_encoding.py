@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 from ladoga.llm import encoding
@@ -50,6 +54,58 @@ def test_clean_text_stays(scorer, clean):
     assert encoding.repair(clean, scorer) == (False, clean, [])
 
 
+@pytest.mark.parametrize("end", [" ? Спасибо", "?Когда обед", " ?как поступить", " ???", "?? А где", " ?", "????", "?! Где"])
+def test_loose_question_marks_are_typed(scorer, end):
+    text = RUSSIAN.rstrip("?") + end
+    assert encoding.repair(text, scorer) == (False, text, [])
+
+
+def test_a_lost_letter_comes_back_where_one_word_fits(scorer):
+    assert encoding.repair("where is the caf� for visitors", scorer)[:2] == (True, "where is the café for visitors")
+
+
+@pytest.mark.parametrize("sign", ["€", "№ 5", "“today”", "«да»", "café"])
+def test_signs_that_are_bytes_of_letters_elsewhere_stay(spark, sign):
+    # the letters are far more frequent than the signs
+    docs = spark.createDataFrame([("ru", "а й т у ь р щ")] * 400 + [("", f"it still {sign} open")] * 5, "lang string, text string")
+    sc = encoding.Scorer(encoding.model(docs))
+    assert encoding.repair(f"it still {sign} open?", sc) == (False, f"it still {sign} open?", [])
+
+
+def test_compressed_size_decides(scorer):
+    bad = "когда " + "начинается приём".encode("cp1251").decode("koi8_r") + " в колледже?"
+    assert encoding.repair(bad, scorer)[0]
+    plain = encoding.Scorer({"ru": RU, "en": EN, "de": DE})
+    plain.cost = lambda text: float(len(text.encode()))
+    assert not encoding.repair(bad, plain)[0]
+
+
+def test_vocabulary_is_cut_by_count(spark):
+    docs = spark.createDataFrame([("ru", "раз " * 9 + "два " * 8 + "три " * 7 + "пять " * 7), (None, "раз " * 3), (None, None)], "lang string, text string")
+    got = {(r["lang"], r["word"]): r["n"] for r in encoding.vocabulary(docs, 3).collect()}
+    assert got == {("ru", "раз"): 9, ("ru", "два"): 8, ("", "раз"): 3}
+    assert len(encoding.vocabulary(docs, 4).collect()) == 5
+
+
+def test_code_travels_to_executors(tmp_path):
+    """A driver that alone can import the package; its workers start elsewhere."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from ladoga.workspace import local_session
+from ladoga.llm import encoding, mainbody
+spark = local_session(2, "2g")
+texts = spark.createDataFrame([("t", 1, "начинается приём документов".encode().decode("cp1251", "replace"))], "tbl string, rec_id long, text string")
+docs = spark.createDataFrame([("ru", "начинается приём документов")] * 5, "lang string, text string")
+assert encoding.garbled_records(texts, docs).count() == 1
+pages = spark.createDataFrame([(1, 1, "a", "<div><h1>a</h1><p>b</div>", "a\\nb")], "id long, source_id long, title string, raw_html string, clean_text string")
+assert mainbody.main_bodies(pages).count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300, capture_output=True)
+
+
 def test_on_tables(spark):
     bad = RUSSIAN.encode().decode("cp1251", "replace")
     rows = [("t", 1, bad), ("t", 1, bad), ("t", 2, RUSSIAN), ("t", 3, None), ("t", 4, ""), ("u", 1, "стоит ��учение")]
