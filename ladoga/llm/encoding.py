@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 WORDS = 12_000
 LEAST_COUNT = 3
 LEVEL = 9
+#: The frame of words in which sizes are taken: the longest of the most frequent.
+FRAME_FROM, FRAME_WORDS = 200, 4
 #: Bytes for a chain and for each step of it, and that a run must save beyond them.
 CHAIN_BYTES = 1.0
 STEP_BYTES = 1.0
@@ -159,7 +161,8 @@ class Scorer:
             self.by_length.setdefault(len(w), []).append(w)
         for ws in words.values():
             self.letters |= {c for w in ws for c in w if c.isalpha()}
-            self._add("\n".join(["", *ws, ""]), "\n" + "\n".join(ws[-3:]) + "\n")
+            # long words, which the dictionary shortens for certain: so close to raw a short text would be kept as it is
+            self._add("\n".join(["", *ws, ""]), "\n".join(["", *sorted(ws[-FRAME_FROM:], key=len)[-FRAME_WORDS:], ""]))
         self.cache: dict[str, dict] = {}
         self.lost: dict[str, list[str]] = {}
 
@@ -194,7 +197,8 @@ class Scorer:
         for chain, result in decodings(word):
             if any("\x7f" <= c < "\xa0" or "─" <= c <= "◿" or c == "�" for c in result) or not {c for c in result.lower() if c > "\x7f" and c.isalpha()} <= self.letters:
                 continue
-            if any(dec != "utf_8" for _, dec in chain) and sum(map(str.isalpha, result)) < letters:
+            # one or two signs alone are letters in any other encoding
+            if any(dec != "utf_8" for _, dec in chain) and (letters == 0 and len(word.strip(PLAIN_EDGE)) < 3 or sum(map(str.isalpha, result)) < letters):
                 continue
             if result not in costs:
                 costs[result] = self.cost_of([result])
@@ -207,7 +211,7 @@ class Scorer:
         if (found := self.cache.get(token)) is None:
             core = token.strip(EDGE + "\xa0").lower()
             # a word as the dictionaries have it is as short as can be
-            found = {} if core in self.known or core.isascii() and token.strip(EDGE).isascii() and core else self.chains(token)
+            found = {} if not core or core in self.known or core.isascii() and token.strip(EDGE).isascii() else self.chains(token)
             if len(self.cache) > 300_000:
                 self.cache.clear()
             self.cache[token] = found

@@ -64,7 +64,7 @@ def test_a_lost_letter_comes_back_where_one_word_fits(scorer):
     assert encoding.repair("where is the caf� for visitors", scorer)[:2] == (True, "where is the café for visitors")
 
 
-@pytest.mark.parametrize("sign", ["€", "№ 5", "“today”", "«да»", "café"])
+@pytest.mark.parametrize("sign", ["€", "№ 5", "“today”", "«да»", "café", "\xa0— \xa0®"])
 def test_signs_that_are_bytes_of_letters_elsewhere_stay(spark, sign):
     # the letters are far more frequent than the signs
     docs = spark.createDataFrame([("ru", "а й т у ь р щ")] * 400 + [("", f"it still {sign} open")] * 5, "lang string, text string")
