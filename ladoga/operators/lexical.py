@@ -9,7 +9,6 @@ from ladoga.functions.text import index_tokens, question_terms
 from ladoga.workspace import broadcast_within, cut
 
 K1, B = 1.2, 0.75
-SMALL = 200_000
 
 
 def indexed(docs: DataFrame) -> DataFrame:
@@ -30,7 +29,7 @@ def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """
     each = _words(docs).select("id", "length", F.explode("w").alias("term"))
     if only is not None:
-        each = each.join(broadcast_within(only.select("term").distinct(), SMALL), "term", "left_semi")
+        each = each.join(broadcast_within(only.select("term").distinct()), "term", "left_semi")
     return each.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
 
 
@@ -83,7 +82,7 @@ def bm25_prefix(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     n, mean = corpus_size(docs)
     each = _words(docs).select("id", "length", F.explode("w").alias("word")).withColumn("head", F.substring("word", 1, 3))
     asked = prefixes.select("prefix").distinct().withColumn("head", F.substring("prefix", 1, 3))
-    hits = each.join(broadcast_within(asked, SMALL), "head").where(F.col("word").startswith(F.col("prefix")))
+    hits = each.join(broadcast_within(asked), "head").where(F.col("word").startswith(F.col("prefix")))
     post = hits.groupBy("id", "prefix").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
     weights = post.groupBy("prefix").agg(F.count(F.lit(1)).alias("df")).select("prefix", idf(F.col("df"), n).alias("idf"))
     tf = F.col("tf")
@@ -94,7 +93,7 @@ def bm25_prefix(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
 def phrase_counts(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """``query_id, id, n``: how often the two-word phrase ``first, second`` of each query stands in each text."""
     pairs = _words(docs).select("id", F.explode(F.arrays_zip(F.col("w").alias("first"), F.slice("w", F.lit(2), F.size("w")).alias("second"))).alias("p")).select("id", "p.first", "p.second")
-    return pairs.join(broadcast_within(phrases, SMALL), ["first", "second"]).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.join(broadcast_within(phrases), ["first", "second"]).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "id") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A side of a join up to this size is copied to every executor.
+BROADCAST_BYTES = 32 << 20
+
+
 def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
     return (
@@ -16,6 +21,7 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -31,18 +37,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read from there.
 
-    The folder is ``spark.checkpoint.dir``; where the session names none (a test on one machine) a temporary
-    one is set. The copy outlives any executor, and what follows neither recomputes nor re-plans what came before.
+    The folder is ``spark.checkpoint.dir``. A session on one machine that names none gets a temporary one; on a cluster
+    that would be the driver's own disk, so there it is an error. The copy outlives any executor, and what follows
+    neither recomputes nor re-plans what came before. Spark removes copies that nothing refers to any more where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` says so.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
-def broadcast_within(df: DataFrame, most: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, so that Spark joins by shuffle.
+def bytes_of(df: DataFrame) -> int:
+    """About as many bytes as the rows of ``df`` take in memory, arrays and maps included; counted where the rows are."""
+    size = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})) + F.lit(16)
+    return df.agg(F.sum(size.cast("long")).alias("bytes")).head()["bytes"] or 0
+
+
+def broadcast_within(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``most`` bytes; else as it is, so that Spark joins by shuffle.
 
-    The count is a small job over what is usually an aggregate; pass the result of ``cut`` to have nothing run twice.
+    Counting is a small job over what is usually an aggregate; pass the result of ``cut`` to have nothing run twice.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if bytes_of(df) <= most else df
