@@ -1,18 +1,21 @@
 """The main body of web pages, without what is set around it.
 
-Method: composite text density over the tree of containers. The density of a container is its link-adjusted characters
-per tag. What containers have beyond the density of the whole page is summed over subtrees, the smallest subtree with the
-largest sum is the body, and within it the containers whose density reaches the least density on the path from the page
-to it, or that of a container certain to be of the body, are kept. Density alone takes a long legal notice for a body and a page of links for a menu, so the characters are
-weighted by two statistics over all pages of a site: a line that stands on many pages of the source weighs nothing, nor
-does a container whose signature (the path of elements with attributes) holds no page headings but repeated lines; one
-whose signature holds headings and few repeated lines is certain, as is the heading's own where no signature is. Of other
-containers, those weigh that have no repeated line and don't precede the heading, and density decides about them. Pages
-without markup, and layouts in which every line is a container of its own, fall back to runs of lines after the heading.
+Method: composite text density over the tree of elements. The density of a node is its link-adjusted characters per tag:
+characters per tag times a logarithm of the ratios of characters to link characters and of tags to link tags, to a base
+that grows with the links of the node against those of the page. Densities of direct children are summed; the node with
+the largest sum is the body, and so is every node whose density reaches the least density on the path from the body to
+the root. Density alone takes a long legal notice for a body and a body made of links for a menu, so characters are
+weighted by statistics over all pages of a site: a line that stands on many pages of the source weighs nothing; one in a
+container whose signature (the path of elements with attributes) holds repeated lines on other pages, and no headings,
+weighs less; what precedes the page's heading, or follows a line that opens lists of links on other pages, weighs little.
+
+Lines are the leaves of the tree. Where repeated lines stand between others in one container, each run of lines between
+them is a node; so are the runs of layouts in which every line is a container of its own, and of pages without markup.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,14 +31,14 @@ from ladoga.workspace import broadcast_within, cut
 #: A line is repeated in a source if it stands on this many pages and this share of them.
 MIN_PAGES = 3
 MIN_SHARE = 0.045
-#: A signature is one of bodies if this share of its pages has the heading in it; pure if few of its lines are repeated.
-HEADED = 0.5
-PURE = 0.12
-FLAT = 0.7
-#: A repeated line is none of furniture if it stands this often in the container with the heading.
+#: A repeated line is none of furniture if it stands this often in the container with the heading; one that no container
+#: of a heading was seen with is furniture if this share of the source's pages has it.
 IN_BODY = 0.2
 STRONG = 0.12
-SMALL = 20_000
+#: A layout has no tree if this share of its lines is alone in its container.
+FLAT = 0.7
+#: Weight of what precedes the heading, and of what follows a line that opens lists of links.
+ASIDE = 0.02
 
 _DIGITS = re.compile("[0-9]+")
 
@@ -49,6 +52,35 @@ def line_key(line: str) -> int:
     return xxhash.xxh64_intdigest(_DIGITS.sub("0", line.lower())) - (1 << 63)
 
 
+def aligned(keys: list[str], lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Pairs of places at which two lists of lines agree, in order. Where they part, the nearer of the next place of the
+    one line in the other list and of the other line in the one list goes on, however far it is."""
+    there: dict[str, list[int]] = {}
+    for j in range(len(keys) - 1, -1, -1):
+        there.setdefault(keys[j], []).append(j)
+    here: dict[str, list[int]] = {}
+    for k in range(len(lines) - 1, -1, -1):
+        here.setdefault(lines[k], []).append(k)
+
+    def after(places: list[int] | None, at: int) -> int | None:
+        """The first place at or after ``at``; earlier ones are never asked for again."""
+        while places and places[-1] < at:
+            places.pop()
+        return places[-1] if places else None
+
+    k = j = 0
+    while k < len(lines) and j < len(keys):
+        if lines[k] == keys[j]:
+            yield k, j
+            k, j = k + 1, j + 1
+            continue
+        ahead, back = after(there.get(lines[k]), j), after(here.get(keys[j]), k)
+        if ahead is not None and (back is None or ahead - j <= back - k):
+            j = ahead
+        else:
+            k += 1
+
+
 def _layout(title: str | None, markup: str | None, text: str, scorer: Scorer) -> tuple:
     """The lines of one page: number, key, characters, whether a table row; and container, link characters, tags.
 
@@ -56,9 +88,10 @@ def _layout(title: str | None, markup: str | None, text: str, scorer: Scorer) ->
     """
     numbers, lines = [], []
     meant = repair(text, scorer)[1].split("\n")
-    if meant == (own := text.split("\n")) or len(meant) != len(own):
+    own = text.split("\n")
+    if len(meant) != len(own):
         meant = own
-    for i, line in enumerate(text.split("\n")):
+    for i, line in enumerate(own):
         if plain := squeeze(line):
             numbers.append(i)
             lines.append((plain, "\t" in line.strip()))
@@ -67,20 +100,14 @@ def _layout(title: str | None, markup: str | None, text: str, scorer: Scorer) ->
     heading = -1
     names = {squeeze(t).lower() for t in (title, page and page.title) if t and t.strip()}
     if page:
-        block, links, tags, at, n = [0] * len(lines), [0] * len(lines), [1] * len(lines), 0, len(page.lines)
-        keys = [squeeze(x.text).lower() for x in page.lines]
-        last = 0
-        for k, (plain, _) in enumerate(lines):
-            low = plain.lower()
-            for j in range(at, min(n, at + 12)):
-                if keys[j] == low:
-                    x = page.lines[j]
-                    block[k], links[k], tags[k], at, last = x.block, x.links, x.tags, j + 1, x.block
-                    if heading < 0 and (x.tag == "h1" or low in names):
-                        heading = k
-                    break
-            else:
-                block[k] = last
+        block, links, tags, last = [-1] * len(lines), [0] * len(lines), [1] * len(lines), 0
+        for k, j in aligned([squeeze(x.text).lower() for x in page.lines], [plain.lower() for plain, _ in lines]):
+            x = page.lines[j]
+            block[k], links[k], tags[k] = x.block, x.links, x.tags
+            if heading < 0 and (x.tag == "h1" or lines[k][0].lower() in names):
+                heading = k
+        for k, b in enumerate(block):
+            last = block[k] = last if b < 0 else b
         parent, path = page.parents, page.paths
     if names:
         named = next((k for k, (plain, _) in enumerate(lines) if plain.lower() in names), -1)
@@ -116,7 +143,7 @@ def repeated_keys(pages: DataFrame) -> DataFrame:
     """``source_id, line, share``: keys of the lines repeated in each source, at most 1/MIN_SHARE times a page's lines."""
     totals = pages.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     counts = pages.select("source_id", F.explode(F.array_distinct("line")).alias("line")).groupBy("source_id", "line").agg(F.count(F.lit(1)).alias("pages"))
-    hot = counts.where(F.col("pages") >= MIN_PAGES).join(broadcast_within(totals, SMALL), "source_id")
+    hot = counts.where(F.col("pages") >= MIN_PAGES).join(broadcast_within(totals), "source_id")
     return hot.select("source_id", "line", (F.col("pages") / F.col("n")).alias("share")).where(F.col("share") >= MIN_SHARE)
 
 
@@ -162,94 +189,95 @@ def sidebar_heads(flagged: DataFrame) -> DataFrame:
     return flagged.where("path is not null").where(repeated > 0).select(F.explode(opens).alias("line")).groupBy("line").count().where("count >= 3").select("line")
 
 
-def body_lines(chars, repeated, rows, heading, block, links, tags, parent, path, weights, heads) -> list[bool]:
-    """For each line whether it belongs to the body."""
+def density(chars: float, links: float, tags: float, link_tags: float, page_links: float) -> float:
+    """Composite text density of a node: link-adjusted characters per tag.
+
+    ``page_links`` is the share of link characters on the page. A node of links only keeps a little density.
+    """
+    if chars <= 0:
+        return 0.0
+    links, tags, link_tags = max(links, 1.0), max(tags, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - links, 1.0) * links + page_links * chars + math.e) + 1.0
+    return chars / tags * math.log(max(chars / links * tags / link_tags, 1.0) + 1.0) / math.log(base)
+
+
+def regions(repeated: list[bool], rows: list[bool], block: list[int], parent: list[int], heading: int) -> tuple[list[int], list[int]]:
+    """Of each line the node it is a leaf of, and of each node its parent: the containers, and runs of lines in them."""
+    block, up = list(block), list(parent)
+    alone: dict[int, int] = {}
+    for k, b in enumerate(block):
+        if not rows[k]:
+            alone[b] = alone.get(b, 0) + 1
+    if sum(alone.values()) >= 8 and sum(n == 1 for n in alone.values()) >= FLAT * sum(alone.values()):
+        block = [up[b] if alone.get(b) == 1 and up[b] >= 0 else b for b in block]
+    mixed = {b for k, b in enumerate(block) if repeated[k] or 0 < k == heading and block[k - 1] == b}
+    out, run = [], -1
+    for k, b in enumerate(block):
+        if b in mixed and not repeated[k]:
+            if run < 0 or up[run] != b or k == heading:
+                up.append(b)
+                run = len(up) - 1
+            out.append(run)
+        else:
+            out.append(b)
+            run = -1
+    return out, up
+
+
+def line_weights(repeated, heading, region, block, path, weights, opens) -> list[float]:
+    """What a character of each line weighs, by the statistics of the site."""
+    out, first = [], {}
+    for k, r in enumerate(region):
+        w = 0.0 if repeated[k] else ASIDE if k < heading else 1.0
+        at = first.setdefault(r, k) - 1
+        if at >= 0 and repeated[at] and k != heading and opens(at):
+            w *= ASIDE
+        if w and path is not None and (of := weights.get(path[block[k]])):
+            w *= min(1.0, of["headed"] + (1 - of["repeated"]) ** 2)
+        out.append(w)
+    return out
+
+
+def body_lines(chars, repeated, rows, heading, block, links, tags, parent, path, weights, opens) -> list[bool]:
+    """For each line whether it belongs to the body: the heading, and lines that weigh in nodes of the body.
+
+    ``weights``: by signature the share of pages whose heading it holds and of its lines that are repeated. ``opens``:
+    whether a line opens lists of links on other pages.
+    """
     n = len(chars)
-    out = [False] * n
     if n == 0:
-        return out
-    tree = block is not None and len(set(block)) > 1 and n > 1
-    if tree:
-        blocks: dict[int, list[int]] = {}
-        for k, b in enumerate(block):
-            blocks.setdefault(b, []).append(k)
-        known = {b: weights.get(path[b]) for b in blocks}
-        pure = {b for b, w in known.items() if w and w["headed"] >= HEADED and w["repeated"] <= PURE}
-        # a layout in which each line is a container has no tree worth the name
-        plain = {b: sum(not rows[k] for k in ks) for b, ks in blocks.items()}
-        tree = sum(plain.values()) < 8 or sum(m == 1 for m in plain.values()) < FLAT * sum(plain.values())
-    if tree:
-        all_links = sum(links) / max(1, sum(chars))
-
-        def dense(c: int, link: int, t: int) -> float:
-            return (c - (1 - all_links) * min(link, c) + 1) / max(1, t)
-
-        density, certain = {}, set()
-        inside = {b: [0, 0, 0] for b in range(len(parent))}  # characters that weigh, those of links, and all tags of each subtree
-        for b, ks in blocks.items():
-            w = known[b]
-            clean = not any(repeated[k] for k in ks)
-            after = clean and (heading < 0 or ks[0] > heading)
-            if b in pure or not pure and heading in ks:
-                certain.add(b)
-                weight = 1.0
-            elif w is not None and (pure or w["headed"] < HEADED / 5):
-                # a signature without headings is still one of bodies if few of its lines are repeated
-                weight = 1.0 if after and heading >= 0 and w["repeated"] <= PURE else 0.0
-            else:
-                weight = 1.0 if after else 0.0
-            c, link = sum(chars[k] for k in ks if not repeated[k] or b in pure), sum(links[k] for k in ks)
-            own = (c, min(link, c), sum(tags[k] for k in ks))
-            density[b] = weight * dense(*own)
-            up = b
-            while up >= 0:
-                inside[up] = [x + y for x, y in zip(inside[up], (weight * own[0], weight * own[1], own[2]))]
-                up = parent[up]
-        composite = {b: dense(*x) for b, x in inside.items()}
-        # a container speaks for the subtrees that hold it by what it has beyond the page's own density
-        total = dict.fromkeys(inside, 0.0)
-        for b, d in density.items():
-            up = b
-            while up >= 0 and d > composite[0]:
-                total[up] += d - composite[0]
-                up = parent[up]
-        best = max(total, key=lambda b: (total[b], b))
-        least, up = composite[best], parent[best]
-        while up >= 0:
-            least, up = min(least, composite[up]), parent[up]
-        least = min([least, *(density[b] for b in certain)])
-        if any(density.values()):
-            for b, ks in blocks.items():
-                up = b
-                while up != best and up >= 0:
-                    up = parent[up]
-                if b in certain or up == best and density[b] > 0 and density[b] >= least:
-                    for k in ks:
-                        out[k] = True
-            return out
-    # runs of lines after the heading, as far as the first that is furniture, over a byline right below the heading
-    start = heading
-    if start < 0:
-        run, best_run = [], []
-        for k in range(n + 1):
-            if k < n and not repeated[k]:
-                run.append(k)
-            else:
-                if sum(chars[j] for j in run) > sum(chars[j] for j in best_run):
-                    best_run = run
-                run = []
-        for k in best_run:
-            out[k] = True
-        return out
-    out[start] = True
-    k = start + 1
-    skipped = 0
-    while k < n and repeated[k] and skipped < 3 and not heads(k):
-        k, skipped = k + 1, skipped + 1
-    while k < n and not repeated[k]:
-        out[k] = True
-        k += 1
-    return out
+        return []
+    block, parent = (block, parent) if block is not None else ([0] * n, [-1])
+    links, tags = links if links is not None else [0] * n, tags if tags is not None else [1] * n
+    region, up = regions(repeated, rows, block, parent, heading)
+    weight = line_weights(repeated, heading, region, block, path, weights, opens)
+    leaves = [(c * w, min(link, c) * w, t, int(link > 0)) for c, link, t, w in zip(chars, links, tags, weight)]
+    inside = [[0.0, 0.0, 0, 0] for _ in up]
+    for r, leaf in zip(region, leaves):
+        while r >= 0:
+            inside[r] = [x + y for x, y in zip(inside[r], leaf)]
+            r = up[r]
+    page_links = inside[0][1] / inside[0][0] if inside[0][0] else 0.0
+    dense = [density(*x, page_links) for x in inside]
+    sums = [0.0] * len(up)
+    for r in range(1, len(up)):
+        sums[up[r]] += dense[r]
+    for r, leaf in zip(region, leaves):
+        sums[r] += density(*leaf, page_links)
+    # the page itself is a body only where nothing is below it
+    best = max(range(1, len(up)), key=lambda r: (sums[r], r)) if any(sums[1:]) else 0
+    least, r = dense[best], best
+    while r >= 0:
+        least, r = min(least, dense[r]), up[r]
+    low = {up[r] for r in range(1, len(up)) if dense[r] < least}
+    kept = {r for r in range(1, len(up)) if dense[r] >= least and r not in low}
+    for r in range(len(up)):
+        at = r
+        while at >= 0 and at != best:
+            at = up[at]
+        if at == best:
+            kept.add(r)
+    return [k == heading or w > 0 and r in kept for k, (r, w) in enumerate(zip(region, weight))]
 
 
 def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,10 +302,10 @@ def main_bodies(pages: DataFrame) -> DataFrame:
     """
     laid = cut(layouts(pages))
     often = cut(furniture_keys(laid, repeated_keys(laid)))
-    flagged = cut(_flagged(laid, broadcast_within(often, SMALL)))
-    weights = broadcast_within(cut(signature_weights(flagged)), SMALL)
+    flagged = _flagged(laid, broadcast_within(often))
+    weights = broadcast_within(cut(signature_weights(flagged)))
     heads = often.select("source_id", F.explode("often").alias("line")).join(sidebar_heads(flagged), "line")
-    heads = broadcast_within(cut(heads.groupBy("source_id").agg(F.collect_set("line").alias("heads"))), SMALL)
+    heads = broadcast_within(cut(heads.groupBy("source_id").agg(F.collect_set("line").alias("heads"))))
     ready = flagged.join(weights, "source_id", "left").join(heads, "source_id", "left")
     cols = ["id", "line_no", "line", "chars", "repeated", "row", "heading", "block", "links", "tags", "parent", "path", "weights", "heads"]
     return ready.select(*cols).mapInPandas(_bodies, "page_id long, body array<int>, around array<int>")

@@ -1,4 +1,5 @@
-from ladoga.llm.mainbody import bodies_of, body_lines, main_bodies
+from ladoga.llm import mainbody
+from ladoga.llm.mainbody import aligned, bodies_of, body_lines, main_bodies
 from ladoga.llm.markup import read
 
 
@@ -62,3 +63,22 @@ def test_density_decides_where_signatures_say_nothing():
 def test_text_beside_the_container_of_the_heading():
     weights = {"/a": {"headed": 1.0, "repeated": 0.0}, "/b": {"headed": 0.0, "repeated": 0.0}, "/c": {"headed": 0.0, "repeated": 0.9}}
     assert lines_of([(1, 20, 0, 2), (2, 400, 0, 2), (2, 200, 0, 2), (3, 300, 0, 2)], 0, weights) == [True] * 3 + [False]
+
+
+def test_changed_densities_change_the_body(monkeypatch):
+    text, menu = [(1, 300, 0, 2), (1, 250, 0, 2)], [(3, 12, 12, 4)] * 4
+    assert lines_of(text + menu, -1, {}) == [True] * 2 + [False] * 4
+    monkeypatch.setattr(mainbody, "density", lambda chars, links, tags, link_tags, page_links: tags / (chars + 1))
+    assert lines_of(text + menu, -1, {}) == [False] * 2 + [True] * 4
+
+
+def test_links_count_against_a_container():
+    linked, plain = [(1, 60, 60, 4)] * 5, [(2, 60, 0, 4)] * 4
+    assert lines_of(linked + plain, -1, {}) == [False] * 5 + [True] * 4
+
+
+def test_lines_are_found_in_the_markup_however_far():
+    lines = [f"line {i}" for i in range(60)]
+    assert list(aligned(lines, ["no such line", *lines[40:]])) == [(i + 1, 40 + i) for i in range(20)]
+    assert list(aligned(["x", *lines], lines)) == [(i, i + 1) for i in range(60)]
+    assert list(aligned([], lines)) == [] and list(aligned(lines, [])) == []
