@@ -1,9 +1,11 @@
 """Noise in text from scanned pages.
 
 Method: noisy-channel correction. Words and pairs of words are counted over all texts of the corpus. A word of a scanned
-text that the counts don't know is taken for a misreading of another: candidates come from a table of confusions of the
-recognition, each with its probability, and a line's words are chosen together by Viterbi over candidates, confusion
-probability times likelihood of the word pairs. Before that, running headers, page numbers and hyphens at line ends are
+text that the counts don't know may be a misreading of another: candidates come from a table of confusions of the
+recognition, each with its probability; the word as it was read is one of them, with the probability of no confusion. A
+line's words are chosen together by Viterbi: probability of the confusions times probability of each word after the one
+before it, which backs off to that of the word alone. Words that the counts know have no other candidate, so the lattice
+of a line falls into runs of unknown words between known ones, and only these are decoded. Before that, running headers, page numbers and hyphens at line ends are
 told from body lines: headers by how often a form of line comes back at borders of pages within one document, or within
 documents over all of them; bare page numbers as the longest run of numbers counting up by one.
 """
@@ -15,11 +17,13 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladoga.workspace import broadcast_within, cut
+from ladoga.workspace import cut
 
 #: What is read -> what may stand on the paper, with the probability of the confusion.
 CONFUSIONS: dict[str, tuple[tuple[str, float], ...]] = {
@@ -39,9 +43,16 @@ EDITS, REPLACEMENTS = 3, 2
 LONGEST, NOISES = 60, 4
 #: A word is known if the texts have it this often; without texts, if scans have it this often and no candidate this many times as often.
 KNOWN, KNOWN_IN_SCANS, COMMONER = 2, 3, 6
-#: The most frequent words, sent along so that only the others need a join.
+#: The most frequent words, sent along with their counts so that only the others need a join.
 FREQUENT = 50_000
-SMALL = 200_000
+#: Up to so many words, hashes of the whole vocabulary are sent along, and a candidate that is no word goes no further.
+HASHES = 1_000_000
+#: Words whose candidates one task looks for.
+ASKED_PER_TASK = 2_000
+#: How often a word that the corpus lacks is taken to occur in it: one as words are, and one with signs or letters of two
+#: alphabets in it. A pair of words counts as this many pairs less than its own number once the second's share is added.
+UNSEEN, UNSEEN_MIXED = 0.02, 1e-7
+BACKOFF = 20.0
 #: A form of line is a running header of a document that has it so many times at borders of pages; and of any document if
 #: it stands in so many documents and comes back in this share of them.
 HEADER_TIMES = 3
@@ -223,6 +234,16 @@ def word_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, cut(both.groupBy("word").agg(F.sum("in_texts").alias("in_texts"), F.sum("in_scans").alias("in_scans")))
 
 
+def _most_frequent(counts: DataFrame) -> dict[str, int]:
+    """The words that texts have most often, at most FREQUENT, with their counts; the least count that is let in is read
+    off the numbers of words by count."""
+    known = counts.where(F.col("in_texts") >= KNOWN)
+    upto = F.sum("of").over(Window.orderBy(F.desc("in_texts")))
+    by_count = known.groupBy("in_texts").agg(F.count(F.lit(1)).alias("of"))
+    least = by_count.withColumn("upto", upto).where(F.col("upto") <= FREQUENT).agg(F.min("in_texts").alias("n")).head()["n"]
+    return {r["word"]: r["in_texts"] for r in known.where(F.col("in_texts") >= least).select("word", "in_texts").collect()} if least else {}
+
+
 def head_forms(text: str) -> list[tuple[str, int, int]]:
     """Of each head form of a text: whether a line of it comes back, and whether one does so at borders of pages often
     enough to be a running header by itself."""
@@ -263,67 +284,93 @@ def headers(scans: DataFrame) -> DataFrame:
     return heads.groupBy("doc_id").agg(F.collect_set("head").alias("heads"))
 
 
-ASK = "doc_id long, line int, line2 int, cut int, place int, word string, sign string, before string, after string, kind string"
+ASK = "doc_id long, line int, line2 int, cut int, place int, word string, sign string, before string, after string, after_n long, kind string"
 
 
 def _asks(frequent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = frequent.value
+        rare = min(known.values(), default=1)
         names = [c.split()[0] for c in ASK.split(", ")]
         for pdf in batches:
             out = []
             for i, text, heads in zip(pdf["doc_id"], pdf["extracted_text"], pdf["heads"]):
                 kinds, words = words_of(text, set() if heads is None else set(heads))
-                out += [(i, n, -1, 0, -1, "", "", "", "", kind) for n, kind in kinds.items()]
+                out += [(i, n, -1, 0, -1, "", "", "", "", 0, kind) for n, kind in kinds.items()]
                 for k, (line, line2, at, word, sign) in enumerate(words):
                     before, after = words[k - 1][3] if k else "", words[k + 1][3] if k + 1 < len(words) else ""
                     if sign:
                         # whether the hyphen is the word's own is asked with the word that has it
-                        out.append((i, line, line2, at, k, word[:at] + "-" + word[at:], sign, before, after, "own"))
+                        out.append((i, line, line2, at, k, word[:at] + "-" + word[at:], sign, before, after, 0, "own"))
                     if (sign or word not in known) and askable(word):
-                        out.append((i, line, line2, at, k, word, sign, before, after, "word"))
+                        out.append((i, line, line2, at, k, word, sign, before, after, known.get(after, rare), "word"))
             yield pd.DataFrame(out, columns=names)
 
     return run
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for w in pdf["word"]:
-            out.append((w, w, 0.0))
-            out += [(w, c, p) for c, p in candidates(w).items()]
-        yield pd.DataFrame(out, columns=["word", "candidate", "channel"])
+def _candidates(words):
+    """Each word with its candidates, itself among them; of those only words, where the hashes of all words are known."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = words.value
+        for pdf in batches:
+            out = []
+            for w in pdf["word"]:
+                out.append((w, w, 0.0))
+                out += [(w, c, p) for c, p in candidates(w).items()]
+            found = pd.DataFrame(out, columns=["word", "candidate", "channel"])
+            if hashes is not None and len(found):
+                own = np.fromiter((xxhash.xxh64_intdigest(c.encode(), 42) for c in found["candidate"]), np.uint64, len(found)).view(np.int64)
+                at = np.searchsorted(hashes, own)
+                found = found[(at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == own) | (found["word"] == found["candidate"])] if len(hashes) else found[found["word"] == found["candidate"]]
+            yield found
+
+    return run
+
+
+def _viterbi(options: list[list[tuple[str, float, float, float]]], pairs: dict[tuple[str, str], int], total: float) -> list[str]:
+    """The most likely word for each place. A candidate: the word, log probability of its confusions, how often it occurs,
+    and how often other words follow it.
+
+    The probability of a word after another is the share of such pairs, mixed with the word's own share as if BACKOFF
+    pairs more had been seen.
+    """
 
+    def after(x: tuple, y: tuple) -> float:
+        return math.log((pairs.get((x[0], y[0]), 0) + BACKOFF * y[2] / total) / (x[3] + BACKOFF))
 
-def _viterbi(options: list[list[tuple[str, float]]], pair: dict[tuple[str, str], float]) -> list[str]:
-    """The most likely word for each place, of candidates with their scores and log likelihoods of pairs."""
-    best = [(p, [w]) for w, p in options[0]]
-    for opts in options[1:]:
+    best = [(o[1], o, [o[0]]) for o in options[0]]
+    for here in options[1:]:
         step = []
-        for w, p in opts:
-            score, path = max(((s + pair.get((path[-1], w), 0.0), path) for s, path in best), key=lambda x: x[0])
-            step.append((score + p, [*path, w]))
+        for o in here:
+            score, path = max(((s + after(last, o), path) for s, last, path in best), key=lambda x: x[0])
+            step.append((score + o[1], o, [*path, o[0]]))
         best = step
-    return max(best, key=lambda x: x[0])[1]
+    return max(best, key=lambda x: x[0])[2]
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lattices of runs of neighbouring unknown words, each between two known ones, to the words chosen."""
-    for pdf in batches:
-        out = []
-        for i, rows, pairs in zip(pdf["doc_id"], pdf["rows"], pdf["pairs"]):
-            likely = {(r["a"], r["b"]): r["score"] for r in pairs} if pairs is not None else {}
-            rows = sorted(rows, key=lambda r: r["place"])
-            run: list = []
-            for k, r in enumerate(rows):
-                run.append(r)
-                if k + 1 < len(rows) and rows[k + 1]["place"] == r["place"] + 1:
-                    continue
-                options = [[(run[0]["before"], 0.0)]] + [[(o["candidate"], o["score"]) for o in x["options"]] for x in run] + [[(run[-1]["after"], 0.0)]]
-                out += [(i, x["place"], w) for x, w in zip(run, _viterbi(options, likely)[1:-1])]
-                run = []
-        yield pd.DataFrame(out, columns=["doc_id", "place", "chosen"])
+def _decode(total: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lattices of runs of neighbouring unknown words, each between two known ones, to the words chosen."""
+        for pdf in batches:
+            out = []
+            for i, rows, pairs in zip(pdf["doc_id"], pdf["rows"], pdf["pairs"]):
+                seen = {(r["a"], r["b"]): r["n"] for r in pairs} if pairs is not None else {}
+                rows = sorted(rows, key=lambda r: r["place"])
+                run: list = []
+                for k, r in enumerate(rows):
+                    run.append(r)
+                    if k + 1 < len(rows) and rows[k + 1]["place"] == r["place"] + 1:
+                        continue
+                    places = [[(o["candidate"], o["channel"], o["total"], o["texts"]) for o in x["options"]] for x in run]
+                    # how often the word before occurs is the same for all that may follow it
+                    lattice = [[(run[0]["before"], 0.0, 1.0, 0.0)], *places, [(run[-1]["after"], 0.0, max(run[-1]["after_n"], 1), 0.0)]]
+                    out += [(i, x["place"], w) for x, w in zip(run, _viterbi(lattice, seen, total)[1:-1])]
+                    run = []
+            yield pd.DataFrame(out, columns=["doc_id", "place", "chosen"])
+
+    return run
 
 
 def _pairs_asked(rows: str) -> Column:
@@ -335,8 +382,7 @@ def _pairs_asked(rows: str) -> Column:
         here = x["options"]["candidate"]
         before = F.when(F.coalesce(last["place"] == x["place"] - 1, F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(x["before"]))
         after = F.when(following["place"] == x["place"] + 1, following["options"]["candidate"]).otherwise(F.array(x["after"]))
-        asked = F.concat(_cross(before, here), _cross(here, after))
-        return F.when((F.size(here) > 1) | (F.size(after) > 1), asked).otherwise(F.filter(asked, lambda p: F.lit(False)))
+        return F.concat(_cross(before, here), _cross(here, after))
 
     return F.flatten(F.transform(rows, of))
 
@@ -350,38 +396,44 @@ def corrections(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``doc_id, line, line2, cut, place, word, sign, chosen, own``."""
     scans = docs.where("extracted_text is not null").select(F.col("doc_id").cast("long"), "extracted_text").dropDuplicates(["doc_id"])
     pairs, counts = word_counts(docs)
-    # bounded by FREQUENT
-    top = counts.where(F.col("in_texts") >= KNOWN).orderBy(F.desc("in_texts"), "word").limit(FREQUENT).select("word").collect()
-    frequent = docs.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in top))
+    total = F.col("in_texts") + F.col("in_scans")
+    spark = docs.sparkSession
+    frequent = spark.sparkContext.broadcast(_most_frequent(counts))
+    numbers = counts.agg(F.sum(total).alias("words"), F.sum((total >= 2).cast("long")).alias("of")).head()
+    hashes = None
+    if (numbers["of"] or 0) <= HASHES:
+        found = counts.where(total >= 2).select(F.xxhash64("word").alias("h")).toPandas()["h"]
+        hashes = np.sort(found.to_numpy(np.int64))
+    words = spark.sparkContext.broadcast(hashes)
     asks = cut(scans.join(headers(scans), "doc_id", "left").select("doc_id", "extracted_text", "heads").mapInPandas(_asks(frequent), ASK))
     kinds = asks.where("kind in ('header', 'page_number')").select("doc_id", "line", "kind")
-    asked = asks.where("kind = 'word'").select("word").distinct()
-    total = F.col("in_texts") + F.col("in_scans")
+    asked = cut(asks.where("kind = 'word'").select("word").distinct())
+    # few bytes, but much work for each row: parts by the number of rows, which no size of them merges
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), asked.count() // ASKED_PER_TASK)
     found = (
-        asked.mapInPandas(_candidates, "word string, candidate string, channel double")
+        asked.repartition(parts, "word").mapInPandas(_candidates(words), "word string, candidate string, channel double")
         .join(counts.where(total >= 2).select(F.col("word").alias("candidate"), "in_texts", total.alias("total")), "candidate")
     )
     best = found.groupBy("word").agg(
         F.max(F.when(F.col("word") == F.col("candidate"), F.col("in_texts"))).alias("texts"),
         F.max(F.when(F.col("word") == F.col("candidate"), F.col("total"))).alias("own"),
         F.max(F.when(F.col("word") != F.col("candidate"), F.col("total"))).alias("other"),
-        F.sort_array(F.collect_list(F.struct((F.col("channel") + F.log("total")).alias("score"), "candidate", F.col("total"))), asc=False).alias("options"),
+        F.sort_array(F.collect_list(F.struct("channel", "candidate", F.col("total").cast("double").alias("total"), F.col("in_texts").cast("double").alias("texts"))), asc=False).alias("options"),
     )
     plain = ~F.col("word").rlike("[0-9~^*|;¦`#_]")
     mixed = F.col("word").rlike("[a-z]") & F.col("word").rlike("[а-яё]")
     own, other = F.coalesce("own", F.lit(0)), F.coalesce("other", F.lit(0))
-    times = F.when(plain & ~mixed, COMMONER).otherwise(1)  # a digit or a foreign letter in a word speaks for itself
     known = (F.coalesce("texts", F.lit(0)) >= KNOWN) & ~mixed | plain & ~mixed & (own >= KNOWN_IN_SCANS) & (other < COMMONER * own)
-    options = F.when(known, F.array(F.struct(F.lit(0.0).alias("score"), F.col("word").alias("candidate")))).otherwise(
-        F.transform(F.filter("options", lambda o: (o["candidate"] != F.col("word")) & (o["total"] >= times * F.least(own, F.lit(50)))), lambda o: F.struct(o["score"].alias("score"), o["candidate"].alias("candidate")))
-    )
-    best = best.select("word", options.alias("options")).where(F.size("options") > 0)
+    unseen = F.when(plain & ~mixed, UNSEEN).otherwise(UNSEEN_MIXED)
+    as_read = F.struct(F.lit(0.0).alias("channel"), F.col("word").alias("candidate"), unseen.alias("total"), F.lit(0.0).alias("texts"))
+    options = F.when(~known, F.concat(F.array(as_read), F.filter("options", lambda o: o["candidate"] != F.col("word"))))
+    best = best.select("word", options.alias("options")).where(F.size("options") > 1)
     lattice = asks.where("kind = 'word'").join(best, "word")
-    rows = lattice.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "before", "after", "options"))).alias("rows"))
-    # likelihood of pairs, looked up only where a place has a choice
+    rows = lattice.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "before", "after", "after_n", "options"))).alias("rows"))
+    # pairs are looked up only where a place has a choice
     wanted = rows.select("doc_id", F.explode(_pairs_asked("rows")).alias("p")).select("doc_id", "p.*").distinct()
-    likely = wanted.join(pairs, ["a", "b"]).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", F.log1p("n").alias("score"))).alias("pairs"))
-    chosen = rows.join(likely, "doc_id", "left").mapInPandas(_decode, "doc_id long, place int, chosen string")
+    likely = wanted.join(pairs, ["a", "b"]).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
+    chosen = rows.join(likely, "doc_id", "left").mapInPandas(_decode(float(numbers["words"] or 1)), "doc_id long, place int, chosen string")
     owned = (
         asks.where("kind = 'own'").select("doc_id", "place", "word").join(counts, "word").groupBy("doc_id", "place").agg(F.max(total).alias("own"))
     )

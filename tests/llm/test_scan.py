@@ -33,7 +33,8 @@ def test_empty(spark):
 def test_candidates_and_viterbi():
     assert "могут" in scan.candidates("rnогут") and "блок" in scan.candidates("бл*ок") and "ко" not in scan.candidates("кот")
     assert "курсы" in scan.candidates("курсьl") and "комиссия" in scan.candidates("кoмиссия")
-    assert scan._viterbi([[("a", 0.0)], [("b", 1.0), ("c", 0.0)], [("d", 0.0)]], {("a", "c"): 2.0}) == ["a", "c", "d"]
+    lattice = [[("a", 0.0, 5, 5)], [("b", -1.0, 9, 9), ("c", -1.0, 3, 3)], [("d", 0.0, 5, 5)]]
+    assert scan._viterbi(lattice, {}, 100) == ["a", "b", "d"] and scan._viterbi(lattice, {("a", "c"): 3}, 100) == ["a", "c", "d"]
 
 
 def test_bare_numbers_that_count_up():
