@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladoga.workspace import cut
+
 #: The dictionary of a language is a model of bounded size: its most frequent words. The counts cover all documents.
 WORDS = 12_000
 LEAST_COUNT = 3
@@ -58,11 +60,14 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> DataFrame:
     lang = F.coalesce(F.lower("lang"), F.lit(""))
     tokens = F.explode(F.split("text", "[ \\t\\r\\n0-9.,!?:;()/|]+"))
     counts = docs.where("text is not null").select(lang.alias("lang"), tokens.alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.where(F.col("n") >= LEAST_COUNT)
+    counts = cut(counts.where(F.col("n") >= LEAST_COUNT))
     of_count = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("of"))
     upto = F.sum("of").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    least = of_count.withColumn("upto", upto).where(F.col("upto") <= words).groupBy("lang").agg(F.min("n").alias("least"))
-    return counts.join(F.broadcast(least), "lang").where("n >= least").drop("least")
+    least = of_count.withColumn("upto", upto).where(F.col("upto") <= words).groupBy("lang").agg(F.min("n").alias("least")).collect()
+    enough = F.lit(False)
+    for r in least:  # one row a language
+        enough = enough | (F.col("lang") == r["lang"]) & (F.col("n") >= r["least"])
+    return counts.where(enough)
 
 
 def _plain(word: str) -> str:
@@ -278,19 +283,31 @@ def _as_was(token: str, word: str) -> str:
     return token[:start] + word + token[start + len(word) :]
 
 
-def _best_run(options: list[dict], tokens: list[str], chains: set[tuple]) -> tuple[float, tuple | None, int, int]:
-    """The run of words on which one chain saves most by the words' own sizes."""
+def _best_run(options: list[dict], tokens: list[str]) -> tuple[float, tuple | None, int, int]:
+    """The run of words on which one chain saves most by the words' own sizes; a word between that it does not undo costs."""
+    at: dict[tuple, list[tuple[int, float]]] = {}
+    for i, o in enumerate(options):
+        for chain, (gain, _) in o.items():
+            at.setdefault(chain, []).append((i, gain))
+    others, n = [], 0
     best: tuple[float, tuple | None, int, int] = (0.0, None, 0, 0)
-    for chain in chains:
-        gain, start, cost = 0.0, 0, chain_cost(chain)
-        for i, o in enumerate(options):
-            if chain in o:
-                gain += o[chain][0]
-            elif not tokens[i].isascii():
-                gain -= 2.0
+    for chain, places in at.items():
+        cost = chain_cost(chain)
+        if sum(g for _, g in places if g > 0) - cost < LEAST_GAIN:
+            continue
+        if not others:
+            for t in tokens:
+                others.append(n)
+                n += not t.isascii()
+        gain, start, last = 0.0, 0, -1
+        for i, g in places:
+            if gain > 0:
+                gain -= 2.0 * (others[i] - others[last] - 1)
             if gain <= 0:
-                gain, start = 0.0, i + 1
-            elif (net := gain - cost) > best[0] + 1e-9 or abs(net - best[0]) <= 1e-9 and best[1] and (len(chain), chain) < (len(best[1]), best[1]):
+                gain, start = 0.0, i
+            gain, last = gain + g, i
+            net = gain - cost
+            if net > best[0] + 1e-9 or abs(net - best[0]) <= 1e-9 and best[1] and (len(chain), chain) < (len(best[1]), best[1]):
                 best = (net, chain, start, i)
     return best
 
@@ -306,7 +323,7 @@ def repair(text: str, scorer: Scorer) -> tuple[bool, str, list[str]]:
     used: list[str] = []
     # best run of each chain, the one that saves most first, until none saves enough
     while any(options):
-        net, chain, a, b = _best_run(options, tokens, {c for o in options for c in o})
+        net, chain, a, b = _best_run(options, tokens)
         if chain is None or net < LEAST_GAIN:
             break
         fits = lambda i: chain in options[i] or tokens[i].isascii()  # noqa: E731, B023

@@ -251,19 +251,24 @@ def body_lines(chars, repeated, rows, heading, block, links, tags, parent, path,
     links, tags = links if links is not None else [0] * n, tags if tags is not None else [1] * n
     region, up = regions(repeated, rows, block, parent, heading)
     weight = line_weights(repeated, heading, region, block, path, weights, opens)
-    leaves = [(c * w, min(link, c) * w, t, int(link > 0)) for c, link, t, w in zip(chars, links, tags, weight)]
-    inside = [[0.0, 0.0, 0, 0] for _ in up]
-    for r, leaf in zip(region, leaves):
-        while r >= 0:
-            inside[r] = [x + y for x, y in zip(inside[r], leaf)]
-            r = up[r]
-    page_links = inside[0][1] / inside[0][0] if inside[0][0] else 0.0
-    dense = [density(*x, page_links) for x in inside]
+    leaves = [(c * w, min(link, c) * w, t, link > 0) for c, link, t, w in zip(chars, links, tags, weight)]
+    of_chars, of_links, of_tags, of_link_tags = [0.0] * len(up), [0.0] * len(up), [0] * len(up), [0] * len(up)
+    for r, (c, link, t, linked) in zip(region, leaves):
+        of_chars[r] += c
+        of_links[r] += link
+        of_tags[r] += t
+        of_link_tags[r] += linked
+    for r in range(len(up) - 1, 0, -1):  # a node comes after its parent
+        for of in (of_chars, of_links, of_tags, of_link_tags):
+            of[up[r]] += of[r]
+    page_links = of_links[0] / of_chars[0] if of_chars[0] else 0.0
+    dense = [density(*x, page_links) for x in zip(of_chars, of_links, of_tags, of_link_tags)]
     sums = [0.0] * len(up)
     for r in range(1, len(up)):
         sums[up[r]] += dense[r]
     for r, leaf in zip(region, leaves):
-        sums[r] += density(*leaf, page_links)
+        if leaf[0]:
+            sums[r] += density(*leaf, page_links)
     # the page itself is a body only where nothing is below it
     best = max(range(1, len(up)), key=lambda r: (sums[r], r)) if any(sums[1:]) else 0
     least, r = dense[best], best
@@ -271,12 +276,11 @@ def body_lines(chars, repeated, rows, heading, block, links, tags, parent, path,
         least, r = min(least, dense[r]), up[r]
     low = {up[r] for r in range(1, len(up)) if dense[r] < least}
     kept = {r for r in range(1, len(up)) if dense[r] >= least and r not in low}
-    for r in range(len(up)):
-        at = r
-        while at >= 0 and at != best:
-            at = up[at]
-        if at == best:
-            kept.add(r)
+    within = {best}
+    for r in range(best + 1, len(up)):
+        if up[r] in within:
+            within.add(r)
+    kept |= within
     return [k == heading or w > 0 and r in kept for k, (r, w) in enumerate(zip(region, weight))]
 
 
@@ -284,12 +288,11 @@ def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for r in pdf.itertuples():
-            heads = set() if r.heads is None else set(r.heads)
+            heads = set() if r.heads is None else set(r.heads.tolist())
             weights = r.weights if isinstance(r.weights, dict) else dict(r.weights) if r.weights is not None else {}
-            body = body_lines(
-                list(r.chars), list(r.repeated), list(r.row), r.heading, None if r.block is None else list(r.block), r.links, r.tags, r.parent, r.path, weights,
-                lambda k, line=r.line, h=heads: line[k] in h,
-            )
+            chars, repeated, rows, line = (x.tolist() for x in (r.chars, r.repeated, r.row, r.line))
+            tree = [None if x is None else x.tolist() for x in (r.block, r.links, r.tags, r.parent, r.path)]
+            body = body_lines(chars, repeated, rows, r.heading, *tree, weights, lambda k, line=line, h=heads: line[k] in h)
             out.append((r.id, [n for n, b in zip(r.line_no, body) if b], [n for n, b in zip(r.line_no, body) if not b]))
         yield pd.DataFrame(out, columns=["page_id", "body", "around"])
 
