@@ -62,3 +62,16 @@ def broadcast_within(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     Counting is a small job over what is usually an aggregate; pass the result of ``cut`` to have nothing run twice.
     """
     return F.broadcast(df) if bytes_of(df) <= most else df
+
+
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with one row for each value of ``keys``, nulls being one value.
+
+    Only rows whose key is repeated are shuffled with all their columns; the keys of all rows are counted by themselves.
+    """
+    twice = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(k).alias(f"{k}_twice") for k in keys])
+    twice = broadcast_within(cut(twice))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_twice"))
+    return df.join(twice, same, "left_anti").unionByName(df.join(twice, same, "left_semi").dropDuplicates(list(keys)))
