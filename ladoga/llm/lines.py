@@ -1,11 +1,12 @@
 """Lines repeated across the documents of one source.
 
 Method: lines are brought to a normal form, dates, names and addresses in it are masked, and the masked lines of a source
-are clustered by locality-sensitive hashing (min-hashes of five-word shingles, banded). A bucket whose lines together
-can't reach the least number of documents is dropped before any pair is looked at; in the others a line belongs to the
-cluster of the bucket's most frequent line if their shingles agree to 0.8 or more. Clusters that stand in enough
-documents are repeated. Equal normal forms have equal signatures, so every line that is frequent by itself lies in such a
-cluster; where sameness is the equality of normal forms (``exact=True``), its own count is checked after clustering.
+are clustered by locality-sensitive hashing (min-hashes of five-word shingles, banded). In each bucket the most frequent
+line leads and is compared with all others; of those whose shingles don't agree with a leader's to 0.8 or more, the most
+frequent leads next, until none is left. Lines linked to leaders, through any of their buckets, are one cluster. Clusters
+that stand in enough documents are repeated, and their lines are removed. Equal masked lines are one line from the start,
+so a line that is frequent by itself always lies in a repeated cluster; where sameness is the equality of normal forms
+(``exact=True``), each line's own count decides after that.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladoga.workspace import broadcast_within, cut
+from ladoga.workspace import broadcast_within, cut, once
 
 MIN_PAGES = 3
 MIN_SHARE = 0.2
@@ -21,7 +22,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 6
 ROWS = 3
-SMALL = 200_000
 
 
 def normal_text(text: str | Column) -> Column:
@@ -45,22 +45,23 @@ def _shingles(words: str) -> Column:
     return F.when(n <= SHINGLE, F.array(F.xxhash64(words))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))))
 
 
-def _buckets(masked: DataFrame) -> DataFrame:
-    """``masked`` once for each band, with the hash of the band's min-hashes.
+def _hashed(masked: DataFrame) -> DataFrame:
+    """``masked`` with its ``id`` and, for each band, the hash of the band's min-hashes.
 
     The words are a column that several expressions refer to, and the min-hashes are folded in one pass over the
-    shingles, so that neither is evaluated anew for every hash function.
+    shingles, so that neither is evaluated anew for every hash function. A line of fewer than five words is one shingle,
+    equal only to itself, and needs no buckets.
     """
     start = F.array_repeat(F.lit((1 << 63) - 1), BANDS * ROWS)
     seeds = F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1))
     mins = F.aggregate(_shingles("words"), start, lambda acc, h: F.zip_with(acc, seeds, lambda m, j: F.least(m, F.xxhash64(h, j))))
-    hashed = masked.withColumn("words", F.split("masked", " ")).withColumn("mins", mins)
-    banded = hashed.select("source_id", "masked", "pages", "n", F.xxhash64("masked").alias("id"), "mins", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    return banded.withColumn("bucket", F.xxhash64("source_id", "band", F.slice("mins", F.col("band") * ROWS + 1, ROWS))).drop("mins", "band")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64("source_id", b, F.slice("mins", b * ROWS + 1, ROWS)))
+    hashed = masked.withColumn("words", F.split("masked", " ")).withColumn("mins", F.when(F.size("words") >= SHINGLE, mins))
+    return hashed.select("source_id", "masked", "pages", "n", F.xxhash64("source_id", "masked").alias("id"), F.when(F.col("mins").isNotNull(), bands).alias("buckets"))
 
 
 def _pages(pages: DataFrame) -> DataFrame:
-    return pages.select("id", "source_id", F.coalesce("clean_text", F.lit("")).alias("clean_text")).where("source_id is not null").dropDuplicates(["id"])
+    return once(pages.select("id", "source_id", F.coalesce("clean_text", F.lit("")).alias("clean_text")).where("source_id is not null"), "id")
 
 
 def _frequent(pages: Column, n: Column, least: int, share: float) -> Column:
@@ -72,29 +73,57 @@ def line_counts(pages: DataFrame) -> DataFrame:
     lined = _pages(pages).select("source_id", F.array_distinct(F.split(normal_text("clean_text"), "\n")).alias("lines"))
     totals = lined.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     counts = lined.select("source_id", F.explode("lines").alias("line")).where("line <> ''").groupBy("source_id", "line").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(broadcast_within(totals, SMALL), "source_id")
+    return counts.join(broadcast_within(cut(totals)), "source_id")
 
 
-def candidate_clusters(counts: DataFrame, least: int = MIN_PAGES, share: float = MIN_SHARE) -> DataFrame:
-    """``source_id, cluster, masked``: masked lines of near-duplicate clusters that may reach the least frequency.
+def _links(hashed: DataFrame) -> DataFrame:
+    """``a, b``: leaders of buckets with the lines that agree with them.
 
-    Buckets are counted by hashes alone; the texts of lines are looked up only for the buckets that are frequent.
+    Buckets are worked on by ids alone, all at once in each round; texts are looked up for the pairs to compare. A round
+    takes the leader from every bucket that has lines left, so there are as many as a bucket has lines unlike each other.
     """
+    each = hashed.where("buckets is not null").select("id", "pages", F.explode("buckets").alias("bucket"))
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("bucket")
+    members = cut(each.join(shared, "bucket"))
+    texts = cut(members.select("id").distinct().join(hashed.select("id", "masked"), "id").withColumn("words", F.split("masked", " ")).select("id", _shingles("words").alias("shingles")))
+    left, links = members, None
+    while True:
+        leaders = left.groupBy("bucket").agg(F.max_by("id", F.struct("pages", "id")).alias("leader"))
+        pairs = members.join(leaders, "bucket").where("id <> leader").select("leader", "id").distinct()
+        pairs = pairs.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("shingles").alias("others")), "leader")
+        alike = F.size(F.array_intersect("shingles", "others")) >= SIMILARITY * F.size(F.array_union("shingles", "others"))
+        found = cut(pairs.where(alike).select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        links = found if links is None else links.unionByName(found)
+        taken = members.join(leaders, "bucket").join(found, (F.col("leader") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "id")
+        taken = taken.unionByName(leaders.select("bucket", F.col("leader").alias("id")))
+        left = cut(left.join(taken, ["bucket", "id"], "left_anti"))
+        if left.isEmpty():
+            return cut(links.distinct())
+
+
+def _clusters(links: DataFrame) -> DataFrame:
+    """``id, cluster``: connected lines have the least id among them, found by passing it on along links."""
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("cluster")).withColumnRenamed("a", "id"))
+    while True:
+        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("near"))
+        jump = label.select(F.col("id").alias("to"), F.col("cluster").alias("far"))
+        new = label.join(near, F.col("id") == F.col("a")).withColumn("to", F.least("cluster", "near")).join(jump, "to", "left")
+        new = cut(new.select("id", F.least("to", F.coalesce("far", "to")).alias("cluster"), (F.least("to", F.coalesce("far", "to")) < F.col("cluster")).alias("moved")))
+        label = new.select("id", "cluster")
+        if new.where("moved").isEmpty():
+            return label
+
+
+def candidate_clusters(counts: DataFrame, least: int = MIN_PAGES, share: float = MIN_SHARE) -> DataFrame:
+    """``source_id, cluster, masked``: masked lines of near-duplicate clusters that may reach the least frequency: a
+    cluster stands in no more documents than its lines together. A cluster is named by its most frequent line."""
     masked = counts.groupBy("source_id", mask(F.col("line")).alias("masked")).agg(F.sum("pages").alias("pages"), F.max("n").alias("n"))
-    hashed = _buckets(masked)
-    buckets = hashed.select("pages", "n", "id", "bucket")
-    heads = (
-        buckets.groupBy("bucket")
-        .agg(F.sum("pages").alias("most"), F.max("n").alias("n"), F.max_by("id", "pages").alias("head"))
-        .where(_frequent(F.col("most"), F.col("n"), least, share))
-        .select("bucket", "head")
-    )
-    heads = broadcast_within(cut(heads), SMALL)
-    members = cut(hashed.join(heads, "bucket").select("source_id", "masked", "id", "head").distinct())
-    first = members.where("id = head").select("source_id", "head", F.col("masked").alias("cluster")).distinct()
-    pairs = members.join(first, ["source_id", "head"]).withColumn("words", F.split("masked", " ")).withColumn("others", F.split("cluster", " "))
-    alike = F.size(F.array_intersect(_shingles("words"), _shingles("others"))) >= SIMILARITY * F.size(F.array_union(_shingles("words"), _shingles("others")))
-    return pairs.where((F.col("masked") == F.col("cluster")) | alike).select("source_id", "cluster", "masked").distinct()
+    hashed = cut(_hashed(masked))
+    of = hashed.select("source_id", "id", "masked", "pages", "n").join(_clusters(_links(hashed)), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    sums = of.groupBy("cluster").agg(F.sum("pages").alias("most"), F.max("n").alias("all"), F.max_by("masked", F.struct("pages", "masked")).alias("name"))
+    sums = sums.where(_frequent(F.col("most"), F.col("all"), least, share)).select("cluster", "name")
+    return of.join(broadcast_within(cut(sums)), "cluster").select("source_id", F.col("name").alias("cluster"), "masked")
 
 
 def repeated_lines(pages: DataFrame, least: int = MIN_PAGES, share: float = MIN_SHARE, exact: bool = True) -> DataFrame:
@@ -105,14 +134,15 @@ def repeated_lines(pages: DataFrame, least: int = MIN_PAGES, share: float = MIN_
     many repeated lines as its pages have lines. Pages without a source, and empty lines, never count.
     """
     counts = cut(line_counts(pages))
-    members = counts.withColumn("masked", mask(F.col("line"))).join(broadcast_within(cut(candidate_clusters(counts, least, share)), SMALL), ["source_id", "masked"])
+    members = counts.withColumn("masked", mask(F.col("line"))).join(broadcast_within(cut(candidate_clusters(counts, least, share))), ["source_id", "masked"])
     if exact:
-        hot = members.where(_frequent(F.col("pages"), F.col("n"), least, share))
-        return hot.groupBy("source_id", "line").agg(F.min("cluster").alias("cluster"), F.max("pages").alias("pages"), F.max("n").alias("n"))
-    of = members.select("source_id", "cluster", "line", "n").distinct()
-    lined = _pages(pages).select("id", "source_id", F.explode(F.array_distinct(F.split(normal_text("clean_text"), "\n"))).alias("line"))
-    sizes = lined.join(of, ["source_id", "line"]).groupBy("source_id", "cluster").agg(F.count_distinct("id").alias("pages"), F.max("n").alias("n"))
-    return of.drop("n").join(sizes.where(_frequent(F.col("pages"), F.col("n"), least, share)), ["source_id", "cluster"])
+        return members.where(_frequent(F.col("pages"), F.col("n"), least, share)).select("source_id", "line", "cluster", "pages", "n")
+    of = broadcast_within(cut(members.select("source_id", "cluster", "line", "n", F.xxhash64("line").alias("h"))))
+    lined = _pages(pages).select("id", "source_id", F.explode(F.array_distinct(F.transform(F.split(normal_text("clean_text"), "\n"), lambda x: F.xxhash64(x)))).alias("h"))
+    # a page counts once for a cluster however many of its lines it has
+    hits = lined.join(of.select("source_id", "h", "cluster", "n"), ["source_id", "h"]).select("source_id", "cluster", "n", "id").distinct()
+    sizes = hits.groupBy("source_id", "cluster").agg(F.count(F.lit(1)).alias("pages"), F.max("n").alias("n"))
+    return of.drop("n", "h").join(cut(sizes.where(_frequent(F.col("pages"), F.col("n"), least, share))), ["source_id", "cluster"])
 
 
 def _by_source(repeated: DataFrame) -> DataFrame:
@@ -126,27 +156,29 @@ def _repeated_at(text: str) -> Column:
 
 
 def with_repeated(pages: DataFrame, fragments: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``tbl, rec_id, text, at``: each page and page fragment with the numbers of its repeated lines.
+    """``tbl, rec_id, text, at``: each page and page fragment, once, with the numbers of its repeated lines.
 
     The lines of a source are one row, so texts are joined on the source once and not line by line; the side is
     broadcast while it is small, and beyond that Spark joins by shuffle and splits the hot sources.
     """
-    by_source = broadcast_within(cut(_by_source(repeated)), SMALL // 100)
-    texts = pages.select(F.lit("pages").alias("tbl"), F.col("id").alias("rec_id"), "source_id", F.col("clean_text").alias("text"))
+    by_source = broadcast_within(cut(_by_source(repeated)))
+    pages = pages.select("id", "source_id", "clean_text")
+    texts = once(pages, "id").select(F.lit("pages").alias("tbl"), F.col("id").alias("rec_id"), "source_id", F.col("clean_text").alias("text"))
     owner = pages.select(F.col("id").alias("page_id"), "source_id").dropDuplicates(["page_id"])
-    cuts = fragments.where("page_id is not null").select(F.lit("fragments").alias("tbl"), F.col("id").alias("rec_id"), "page_id", "text")
+    cuts = once(fragments.where("page_id is not null").select("id", "page_id", "text"), "id").select(F.lit("fragments").alias("tbl"), F.col("id").alias("rec_id"), "page_id", "text")
     cuts = cuts.join(owner, "page_id", "left").select("tbl", "rec_id", "source_id", "text")
     return texts.unionByName(cuts).join(by_source, "source_id", "left").withColumn("at", F.coalesce(_repeated_at("text"), F.array().cast("array<int>"))).drop("repeated")
 
 
 def repeated_positions(pages: DataFrame, fragments: DataFrame, **kw) -> DataFrame:
-    """``tbl, rec_id, line_no`` of every occurrence of a repeated line; repeated rows count once."""
+    """``tbl, rec_id, line_no`` of every occurrence of a line repeated by itself; repeated rows count once."""
     rows = with_repeated(pages, fragments, repeated_lines(pages, **kw))
-    return rows.select("tbl", "rec_id", F.explode("at").alias("line_no")).distinct()
+    return rows.select("tbl", "rec_id", F.explode("at").alias("line_no"))
 
 
 def without_repeated(pages: DataFrame, fragments: DataFrame, **kw) -> DataFrame:
-    """``tbl, rec_id, text, removed``: texts without their repeated lines. A null text stays null."""
-    rows = with_repeated(pages, fragments, repeated_lines(pages, **kw))
+    """``tbl, rec_id, text, removed``: texts without the lines of repeated clusters, near duplicates included. A null text
+    stays null; repeated rows give one row."""
+    rows = with_repeated(pages, fragments, repeated_lines(pages, exact=False, **kw))
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("at", i.cast("int")))
-    return rows.select("tbl", "rec_id", F.array_join(kept, "\n").alias("text"), F.size("at").alias("removed")).dropDuplicates(["tbl", "rec_id"])
+    return rows.select("tbl", "rec_id", F.array_join(kept, "\n").alias("text"), F.size("at").alias("removed"))

@@ -1,6 +1,8 @@
+import itertools
+import random
 import re
 
-from ladoga.llm.lines import repeated_lines, repeated_positions, without_repeated
+from ladoga.llm.lines import _clusters, _hashed, _links, repeated_lines, repeated_positions, without_repeated
 
 
 def norm(line):
@@ -51,12 +53,49 @@ def test_texts_lose_exactly_those_lines(spark):
     assert got["pages", 201]["removed"] == 0
 
 
+SHARE = "please share this page with all of your very good friends at school and also with {}"
+
+
 def test_near_duplicate_clusters(spark):
-    rows = [(i, 1, f"please share this page with all of your friends and {w}\nbody {chr(97 + i) * 9}") for i, w in enumerate(["colleagues"] * 2 + ["pupils"] * 2 + ["mum"])]
+    words = ["colleagues"] * 2 + ["pupils"] * 2 + ["mum"]
+    rows = [(i, 1, SHARE.format(w) + f"\nbody {chr(97 + i) * 9}") for i, w in enumerate(words)]
     pages = spark.createDataFrame(rows, "id long, source_id long, clean_text string")
+    near = {r["line"]: (r["cluster"], r["pages"]) for r in repeated_lines(pages, exact=False).collect()}
+    assert set(near) == {SHARE.format(w) for w in words} and set(near.values()) == {(SHARE.format("pupils"), 5)}
     assert repeated_lines(pages).count() == 0  # none stands on three pages by itself
-    near = {r["line"] for r in repeated_lines(pages, exact=False).collect()}
-    assert {x for x in near if x.startswith("please")} in ({"please share this page with all of your friends and colleagues", "please share this page with all of your friends and pupils"}, set()) or len(near) >= 2
+    fragments = spark.createDataFrame([(1, 0, SHARE.format("mum"))], "id long, page_id long, text string")
+    got = {(r["tbl"], r["rec_id"]): r["text"] for r in without_repeated(pages, fragments).collect()}
+    assert got["fragments", 1] == "" and got["pages", 4] == "body " + "e" * 9
+    assert repeated_positions(pages, fragments).count() == 0
+
+
+def shingles(line):
+    w = line.split(" ")
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_links_of_planted_variants_against_brute_force(spark):
+    """Recall of pairs in one cluster, chains of near duplicates included."""
+    rnd = random.Random(11)
+    lines = []
+    for _ in range(40):
+        line = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(12, 40))]
+        lines.append(" ".join(line))
+        for _ in range(rnd.randrange(6)):
+            line = list(line)
+            line[rnd.choice([0, -1])] = f"v{rnd.randrange(5000)}"
+            lines.append(" ".join(line))
+    masked = spark.createDataFrame([(1, x, 1, 1000) for x in lines], "source_id long, masked string, pages long, n long")
+    hashed = _hashed(masked).cache()
+    name = {r["id"]: r["masked"] for r in hashed.collect()}
+    links = _links(hashed)
+    pairs = {frozenset((name[r["a"]], name[r["b"]])) for r in links.collect()}
+    alike = lambda a, b: len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
+    assert all(alike(*p) for p in pairs)
+    cluster = {name[r["id"]]: r["cluster"] for r in _clusters(links).collect()}
+    truth = [(a, b) for a, b in itertools.combinations(sorted(set(lines)), 2) if alike(a, b)]
+    found = sum(a in cluster and cluster[a] == cluster.get(b) for a, b in truth)
+    assert len(truth) > 60 and found >= 0.95 * len(truth)
 
 
 def test_empty(spark):
