@@ -3,7 +3,7 @@
 Method: lines are brought to a normal form, dates, names and addresses in it are masked, and the masked lines of a source
 are clustered by locality-sensitive hashing (min-hashes of five-word shingles, banded). In each bucket the most frequent
 line leads and is compared with all others; of those whose shingles don't agree with a leader's to 0.8 or more, the most
-frequent leads next, until none is left. Lines linked to leaders, through any of their buckets, are one cluster. Clusters
+frequent lead next, until none is left. Lines linked to leaders, through any of their buckets, are one cluster. Clusters
 that stand in enough documents are repeated, and their lines are removed. Equal masked lines are one line from the start,
 so a line that is frequent by itself always lies in a repeated cluster; where sameness is the equality of normal forms
 (``exact=True``), each line's own count decides after that.
@@ -11,7 +11,7 @@ so a line that is frequent by itself always lies in a repeated cluster; where sa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladoga.workspace import broadcast_within, cut, once
@@ -22,6 +22,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 6
 ROWS = 3
+#: So many lines of a bucket lead in one round at most.
+LEADERS = 512
 
 
 def normal_text(text: str | Column) -> Column:
@@ -79,16 +81,19 @@ def line_counts(pages: DataFrame) -> DataFrame:
 def _links(hashed: DataFrame) -> DataFrame:
     """``a, b``: leaders of buckets with the lines that agree with them.
 
-    Buckets are worked on by ids alone, all at once in each round; texts are looked up for the pairs to compare. A round
-    takes the leader from every bucket that has lines left, so there are as many as a bucket has lines unlike each other.
+    Buckets are worked on by ids alone, all at once in each round; shingles are looked up for the pairs to compare. The
+    first round takes one leader from every bucket, each later one twice as many from those that have lines left, as far
+    as LEADERS: most lines of a large bucket are near duplicates and go with the first, and lines unlike each other need
+    few rounds.
     """
     each = hashed.where("buckets is not null").select("id", "pages", F.explode("buckets").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("bucket")
     members = cut(each.join(shared, "bucket"))
     texts = cut(members.select("id").distinct().join(hashed.select("id", "masked"), "id").withColumn("words", F.split("masked", " ")).select("id", _shingles("words").alias("shingles")))
-    left, links = members, None
+    left, links, lead = members, None, 1
     while True:
-        leaders = left.groupBy("bucket").agg(F.max_by("id", F.struct("pages", "id")).alias("leader"))
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pages"), "id"))
+        leaders = left.withColumn("rank", rank).where(F.col("rank") <= lead).select("bucket", F.col("id").alias("leader"))
         pairs = members.join(leaders, "bucket").where("id <> leader").select("leader", "id").distinct()
         pairs = pairs.join(texts, "id").join(texts.select(F.col("id").alias("leader"), F.col("shingles").alias("others")), "leader")
         alike = F.size(F.array_intersect("shingles", "others")) >= SIMILARITY * F.size(F.array_union("shingles", "others"))
@@ -99,6 +104,7 @@ def _links(hashed: DataFrame) -> DataFrame:
         left = cut(left.join(taken, ["bucket", "id"], "left_anti"))
         if left.isEmpty():
             return cut(links.distinct())
+        lead = min(2 * lead, LEADERS)
 
 
 def _clusters(links: DataFrame) -> DataFrame:
