@@ -20,8 +20,9 @@ from ladoga.llm.tokens import VOCABULARY, token_counts
 from ladoga.workspace import broadcast_within, cut
 
 ROUNDS = 60
+#: Documents of a source are ordered within steps of their rank: so many at least, and so many that each has few documents.
 STEPS = 1024
-SMALL = 100_000
+PER_STEP = 20_000
 
 
 def rake(cells: pd.DataFrame, shares: dict[str, float]) -> np.ndarray:
@@ -80,7 +81,8 @@ def _rake(pdf: pd.DataFrame) -> pd.DataFrame:
     rate = np.divide(weight, pdf["tokens"], out=np.zeros(len(pdf)), where=pdf["tokens"] > 0)
     rate = np.where(np.abs(rate - np.round(rate)) < 1e-9, np.round(rate), rate)
     pdf["rate"] = np.minimum(rate, pdf["cap"])
-    return pdf[["mix_name", "source", "lang", "topic", "rate", "tokens"]].assign(wanted=weight)
+    steps = np.maximum(STEPS, np.ceil(pdf.groupby("source")["n"].transform("sum") / PER_STEP)).astype("int64")
+    return pdf[["mix_name", "source", "lang", "topic", "rate", "tokens"]].assign(wanted=weight, steps=steps)
 
 
 def choose(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -93,25 +95,27 @@ def choose(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataF
     sized = docs.select(F.col("doc_id").cast("long"), "source", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("topic", F.lit("")).alias("topic"), "text")
     sized = cut(token_counts(sized, ["doc_id", "source", "lang", "topic"], path).dropDuplicates(["doc_id"])).where("tokens > 0")
     goals = targets.groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("cap")).where("cap > 0 and target_share > 0")
-    cells = sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    cells = sized.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     rates = cut(
-        cells.join(broadcast_within(goals, SMALL), "source")
+        cells.join(broadcast_within(goals), "source")
         .groupBy("mix_name")
-        .applyInPandas(_rake, "mix_name string, source string, lang string, topic string, rate double, tokens long, wanted double")
+        .applyInPandas(_rake, "mix_name string, source string, lang string, topic string, rate double, tokens long, wanted double, steps long")
     )
     base, part = F.floor("rate"), F.col("rate") - F.floor("rate")
     chance = (F.xxhash64("mix_name", "doc_id").bitwiseAND(F.lit((1 << 53) - 1)) + 1) / F.lit(float(1 << 53))
-    rows = sized.join(broadcast_within(rates.drop("tokens", "wanted"), SMALL), ["source", "lang", "topic"])
-    rows = rows.select("mix_name", "source", "doc_id", "tokens", base.cast("int").alias("base"), F.when(part > 1e-9, chance / part).alias("rank"))
+    rows = sized.join(broadcast_within(rates.drop("tokens", "wanted")), ["source", "lang", "topic"])
+    rows = rows.select("mix_name", "source", "doc_id", "tokens", base.cast("int").alias("base"), F.when(part > 1e-9, chance / part).alias("rank"), "steps")
     # what the whole repeats leave of each source's goal
     left = rates.groupBy("mix_name", "source").agg(F.sum(F.col("wanted") - base * F.col("tokens")).alias("left"))
-    step = F.least(F.lit(2 * STEPS), F.floor(F.col("rank") * STEPS)).cast("int")
+    # the last one taken is near rank 1; steps are equal up to 2 and grow with the rank beyond, so that none holds more
+    # than about the same share of a source, however few of its documents are wanted
+    step = F.when(F.col("rank") < 2, F.floor(F.col("rank") * F.col("steps"))).otherwise(2 * F.col("steps") + F.floor(F.log(F.col("rank") / 2) * F.col("steps") / 2))
     rows = rows.withColumn("step", F.when(F.col("rank").isNotNull(), step))
     # running sums of ordered documents: over steps first, and within a step only for those in it
     steps = rows.where("step is not null").groupBy("mix_name", "source", "step").agg(F.sum("tokens").alias("sum"))
     w = Window.partitionBy("mix_name", "source").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.withColumn("before", F.coalesce(F.sum("sum").over(w), F.lit(0))).join(left, ["mix_name", "source"])
-    steps = broadcast_within(cut(steps.drop("sum").select("*")), SMALL)
+    steps = broadcast_within(cut(steps.drop("sum")))
     order = Window.partitionBy("mix_name", "source", "step").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.where("step is not null").join(steps, ["mix_name", "source", "step"]).withColumn("upto", F.col("before") + F.sum("tokens").over(order))
     # the last one is taken if that comes closer to the goal than leaving it

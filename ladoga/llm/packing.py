@@ -3,8 +3,9 @@
 Method: exact-complement hashing. Only lengths matter, and there are no more lengths than the capacity, so the plan is
 made from counts by length: for each length, longest first, the gap it leaves is looked up among single lengths, pair
 sums and triple sums that are still available, and all containers that can be filled exactly that way are taken at once.
-What is left goes best-fit, longest first, over counts of gaps. The plan says which ordinal numbers of each length go to
-which containers; documents get their ordinal numbers in parallel and look up their container.
+What is left goes best-fit, longest first, over counts of gaps. Each specification is planned in a task of its own, from
+no more rows than its capacity; every step of a plan uses up a length, so the plan is as bounded. It says which ordinal
+numbers of each length go to which containers; documents get their numbers in parallel and look up their container.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from ladoga.llm.tokens import VOCABULARY, token_counts
 from ladoga.workspace import cut
 
-#: Documents of one length are numbered in so many groups.
-SALT = 64
+#: Documents of one length are numbered in so many groups at least, and so many that each has about this many rows.
+SALT, PER_SALT = 64, 100_000
 _SHIFT = 44
 
 
@@ -114,21 +115,22 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
-def _slots(contents: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For the ordinal numbers of each length, in order: key of the first number, first container, items a container."""
+SLOTS = "spec_name string, key long, first long, each long, containers long"
+
+
+def _slots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For the ordinal numbers of each length of one specification: key of the first number, first container, items a
+    container. ``pdf``: spec_name, capacity_tokens, tokens, n."""
+    counts = {int(t): int(n) for t, n in zip(pdf["tokens"], pdf["n"]) if t}
     used: dict[int, int] = {}
-    keys, first, each = [], [], []
-    at = 0
-    for items, n in contents:
-        for size, r in zip(*np.unique(items, return_counts=True)):
-            start = used.get(int(size), 0)
-            keys.append((int(size) << _SHIFT) + start)
-            first.append(at)
-            each.append(int(r))
-            used[int(size)] = start + int(r) * n
+    rows, at = [], 0
+    for items, n in plan(counts, int(pdf["capacity_tokens"].iloc[0])):
+        for size, r in Counter(items).items():
+            start = used.get(size, 0)
+            rows.append(((size << _SHIFT) + start, at, r))
+            used[size] = start + r * n
         at += n
-    order = np.argsort(keys, kind="stable")
-    return np.array(keys, np.int64)[order], np.array(first, np.int64)[order], np.array(each, np.int64)[order], at
+    return pd.DataFrame(rows, columns=["key", "first", "each"]).assign(spec_name=pdf["spec_name"].iloc[0], containers=at)[["spec_name", "key", "first", "each", "containers"]]
 
 
 def _assign(tables):
@@ -164,15 +166,18 @@ def pack(docs: DataFrame, specs: DataFrame, path: str = VOCABULARY) -> DataFrame
     """``spec_name, container_id, doc_id, part, start_token, tokens``: each document, or each part of one that exceeds
     the capacity, in one container.
 
-    The counts by length that reach the driver are at most as many as the capacity has tokens. A text without tokens
+    The rows of a plan that reach the driver are bounded by the capacity. A text without tokens
     takes no room; such texts are spread over the containers. Repeated rows count once.
     """
-    every = cut(items(docs, specs, path).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALT))))
-    by = every.groupBy("spec_name", "capacity_tokens", "tokens", "salt").agg(F.count(F.lit(1)).alias("n"))
-    counts: dict[tuple[str, int], dict[int, int]] = {}
-    for r in by.groupBy("spec_name", "capacity_tokens", "tokens").agg(F.sum("n").alias("n")).collect():
-        counts.setdefault((r["spec_name"], r["capacity_tokens"]), {})[r["tokens"]] = r["n"]
-    tables = {spec: _slots(plan({s: n for s, n in by_size.items() if s}, capacity)) for (spec, capacity), by_size in counts.items()}
+    every = cut(items(docs, specs, path))
+    salts = max(SALT, every.count() // PER_SALT)
+    every = every.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)))
+    by = cut(every.groupBy("spec_name", "capacity_tokens", "tokens", "salt").agg(F.count(F.lit(1)).alias("n")))
+    sizes = by.groupBy("spec_name", "capacity_tokens", "tokens").agg(F.sum("n").alias("n"))
+    slots = sizes.groupBy("spec_name", "capacity_tokens").applyInPandas(_slots, SLOTS).toPandas()
+    tables = {r["spec_name"]: (np.zeros(0, np.int64),) * 3 + (0,) for r in specs.select("spec_name").distinct().collect()}
+    for spec, part in slots.sort_values(["spec_name", "key"]).groupby("spec_name"):
+        tables[spec] = (*(part[c].to_numpy(np.int64) for c in ("key", "first", "each")), int(part["containers"].iloc[0]))
     sent = docs.sparkSession.sparkContext.broadcast(tables)
     w = Window.partitionBy("spec_name", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by.select("spec_name", "tokens", "salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))

@@ -5,7 +5,9 @@ each position the widest range in which it holds the smallest hash. Cut to the l
 position that is the smallest of some window of that length: the anchor, with the range of all windows whose signature
 (smallest hash) it is. Equal spans have equal hashes, hence equal smallest hashes at equal places, so one hash function
 finds every verbatim span; more functions only serve inexact passages. Anchors are joined on the signature, and the
-texts around equal anchors are compared character by character, which gives exact intervals.
+texts around equal anchors are compared, which gives exact intervals: ranges that agree in the signature and in the
+fingerprint of the whole range (128 bits together) count as equal; of different ones up to PAIRWISE with one signature
+are compared character by character, more of them by two fingerprints (128 bits) of each of their windows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from ladoga.workspace import broadcast_within, cut
 GRAM = 88
 PIECE = 1_000_000
 PAIRWISE = 48
-SMALL = 50_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -227,7 +228,7 @@ def shared_intervals(docs: DataFrame, length: int = 200, gram: int = GRAM) -> Da
     asked = mixed.groupBy("doc_id").agg(F.collect_list("r").alias("rows"))  # at most the anchors of one text
     schema = "h long, fp long, lead int, size int, dmin long, dmax long, kinds long, range string"
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    ranges = cut(texts.join(broadcast_within(cut(asked), SMALL), "doc_id").select("text", "rows").mapInPandas(_cut_out, schema))
+    ranges = cut(texts.join(broadcast_within(cut(asked)), "doc_id").select("text", "rows").mapInPandas(_cut_out, schema))
     few = (
         ranges.where(F.col("kinds") <= PAIRWISE)
         .groupBy("h")
