@@ -102,6 +102,12 @@ def title_from_url(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(last, "-?[0-9]*$", ""), "[-_]+", " "))
 
 
+def address(c: str | Column) -> Column:
+    """A web address without fragment and slashes at its end, host lower-cased, over https."""
+    host, rest = F.lower(F.regexp_extract(_c(c), "^(https?://[^/?#]+)", 1)), F.regexp_extract(_c(c), "^https?://[^/?#]+([^#]*)", 1)
+    return F.regexp_replace(F.regexp_replace(F.concat(host, rest), "/+$", ""), "^http:", "https:")
+
+
 def any_of(c: Column, words: list[str]) -> Column:
     """Whether the text contains any of the words."""
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladoga.functions.text import normalize
+
 
 def merge_by_hash(current: DataFrame, incoming: DataFrame, key: str, content: str) -> DataFrame:
     """``key, status``: whether each incoming row is ``new``, ``updated`` or ``unchanged``, and current ones not seen again
@@ -58,3 +60,19 @@ def dependency_state(recorded: DataFrame, current: DataFrame) -> DataFrame:
         )
         .withColumn("stale", F.coalesce("stale", F.lit(0)))
     )
+
+
+def numbered(rows: DataFrame, order: Column, start: int = 0) -> DataFrame:
+    """``rows`` with ``id`` from ``start + 1`` on in the order of a hexadecimal hash: numbered within its first three
+    digits, and these by how many rows have lesser ones, so no task sorts all rows."""
+    rows = rows.withColumn("_hash", order).withColumn("_head", F.substring("_hash", 1, 3))
+    sizes = rows.groupBy("_head").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("_before", before).drop("n")  # at most 4,096 rows
+    own = F.row_number().over(Window.partitionBy("_head").orderBy("_hash"))
+    return rows.withColumn("_own", own).join(F.broadcast(offsets), "_head").withColumn("id", F.col("_own") + F.col("_before") + F.lit(start)).drop("_hash", "_head", "_own", "_before")
+
+
+def cache_key(question: str, *parts: str) -> Column:
+    """The hash of a question's normal form and of all else its answer depends on; nulls count as empty."""
+    return F.sha2(F.concat_ws("|", normalize(question), *[F.coalesce(p, F.lit("")) for p in parts]), 256)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladoga.functions.text import CODE, YEARS, content_hash, found
@@ -19,9 +19,9 @@ def fixed_windows(texts: DataFrame, size: int = 800, overlap: int = 100, least:
     return rows.where(F.length(F.trim("text")) >= least)
 
 
-def paragraphs(texts: DataFrame, least: int = 50) -> DataFrame:
+def paragraphs(texts: DataFrame, least: int = 50, most: int = 1000, part: int = 800) -> DataFrame:
     """``id, chunk_index, text``: paragraphs between empty lines; one of fewer than ``least`` characters goes with the
-    next one, as far as there is a next one."""
+    next one, as far as there is a next one, and one of more than ``most`` is cut at blanks in parts of at most ``part``."""
     parts = F.filter(F.transform(F.split("text", "\\n[ \\t]*\\n+"), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
@@ -34,15 +34,30 @@ def paragraphs(texts: DataFrame, least: int = 50) -> DataFrame:
         )
 
     folded = F.aggregate(parts, start, step, lambda a: F.when(a["held"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["held"]))))
-    return texts.where("text is not null").select("id", F.posexplode(folded).alias("chunk_index", "text"))
+    pieces = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{part - 1}}}[ \\n]|.{{1,{part}}}"), F.lit(0)), lambda x: F.trim(x))
+    bounded = F.flatten(F.transform(folded, lambda p: F.when(F.length(p) > most, pieces(p)).otherwise(F.array(p))))
+    return texts.where("text is not null").select("id", F.posexplode(bounded).alias("chunk_index", "text"))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """A text of more than ``most`` characters cut at the last blank before them, with an ellipsis."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_extract(text, f"(?s)^(.{{0,{most - 1}}})[ \\n]", 1), F.lit("…")))
+
+
+def lines_under_head(texts: DataFrame, n: int) -> DataFrame:
+    """``id, chunk_index, lines, text``: the lines after the first in parts of ``n``, the first line over each part."""
+    x = F.split("text", "\\n")
+    parts = F.when(F.size(x) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1)), F.lit(n)), lambda i: F.slice(x, i + 1, n)))
+    rows = texts.where("text is not null").select("id", F.get(x, F.lit(0)).alias("head"), F.posexplode(parts).alias("chunk_index", "part"))
+    return rows.select("id", "chunk_index", F.size("part").alias("lines"), F.concat("head", F.lit("\n"), F.array_join("part", "\n")).alias("text"))
 
 
 def records(lines: DataFrame, header: str) -> DataFrame:
     """``id, record, line_no, line``: each line with the number of the header line it belongs to; lines before the first
     header belong to record 0."""
-    parts = F.split("text", "\\n")
-    marked = F.transform(parts, lambda x, i: F.struct(i.cast("int").alias("line_no"), x.alias("line"), F.size(F.filter(F.slice(parts, 1, i + 1), lambda y: y.rlike(header))).alias("record")))
-    return lines.where("text is not null").select("id", F.explode(marked).alias("l")).select("id", "l.record", "l.line_no", "l.line")
+    each = lines.where("text is not null").select("id", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"))
+    upto = F.sum(F.col("line").rlike(header).cast("int")).over(Window.partitionBy("id").orderBy("line_no"))
+    return each.select("id", upto.cast("int").alias("record"), "line_no", "line")
 
 
 def section_fragments(sections: DataFrame, size: int = 600, overlap: int = 150, least: int = 50) -> DataFrame:

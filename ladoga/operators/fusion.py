@@ -33,6 +33,15 @@ def above(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("score") >= threshold)
 
 
+def not_contained(ranked: DataFrame) -> DataFrame:
+    """Pieces ``query_id, id, rank, norm`` whose normal text stands in no longer one of the same query, nor in an equal
+    one of better rank. A query has a few pieces, so they meet pairwise."""
+    other = ranked.select("query_id", F.col("id").alias("_id"), F.col("rank").alias("_rank"), F.col("norm").alias("_norm"))
+    held = F.contains("_norm", F.col("norm")) & ((F.length("_norm") > F.length("norm")) | (F.col("_rank") < F.col("rank")))
+    gone = ranked.join(other, "query_id").where((F.col("id") != F.col("_id")) & held).select("query_id", "id").distinct()
+    return ranked.join(gone, ["query_id", "id"], "left_anti")
+
+
 def evidence(ranked: DataFrame, always: int = 4, more: int = 2, coverage: float = 0.4) -> DataFrame:
     """The first ``always`` of each query, and of the others the first ``more`` whose share of keywords found reaches
     ``coverage``."""

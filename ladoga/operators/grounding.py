@@ -20,6 +20,16 @@ def claims(answers: DataFrame) -> DataFrame:
     return answers.where("text is not null").select("id", F.explode(F.array_distinct(F.concat(*each))).alias("c")).select("id", "c.kind", "c.value")
 
 
+def claim_form() -> Column:
+    """The normal form of ``value`` by its ``kind``: digits of phones and amounts, lower case of others."""
+    return F.when(F.col("kind") == "phone", phone_digits(F.col("value"))).when(F.col("kind") == "money", F.regexp_replace("value", "\\s", "")).otherwise(F.lower("value"))
+
+
+def stated_by(stated: DataFrame) -> DataFrame:
+    """``kind, form, fragments``: how many texts state each claim; counted before any join, so a hot claim is one row."""
+    return stated.select("kind", claim_form().alias("form"), "id").distinct().groupBy("kind", "form").agg(F.count(F.lit(1)).alias("fragments"))
+
+
 def supported(stated: DataFrame, evidence: DataFrame, strict: bool = True) -> DataFrame:
     """``stated`` (id, kind, value) with ``supported``: whether the evidence ``id, text`` of the same id states it.
 
@@ -29,7 +39,7 @@ def supported(stated: DataFrame, evidence: DataFrame, strict: bool = True) -> Da
     if not strict:
         joined = stated.join(evidence.groupBy("id").agg(F.concat_ws(" ", F.collect_list(normalize("text"))).alias("all")), "id", "left")
         return joined.select("id", "kind", "value", F.coalesce(F.contains("all", F.lower("value")), F.lit(False)).alias("supported"))
-    form = F.when(F.col("kind") == "phone", phone_digits(F.col("value"))).when(F.col("kind") == "money", F.regexp_replace("value", "\\s", "")).otherwise(F.lower("value"))
+    form = claim_form()
     there = claims(evidence).select("id", "kind", form.alias("form")).distinct().withColumn("supported", F.lit(True))
     return stated.withColumn("form", form).join(there, ["id", "kind", "form"], "left").select("id", "kind", "value", F.coalesce("supported", F.lit(False)).alias("supported"))
 

@@ -77,6 +77,17 @@ def synonym_expansion(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     return terms.unionByName(more).distinct()
 
 
+def clarified(turns: DataFrame, within: str = "30 minutes") -> DataFrame:
+    """``turn_id, answers, question, pending`` of turns ``turn_id, session_id, user_message, is_ambiguous, turn_ts``."""
+    before = F.struct(F.col("is_ambiguous").alias("open"), "user_message", F.col("turn_ts").alias("at"))
+    last = F.get("previous", F.lit(0))
+    soon = F.col("turn_ts") <= last["at"] + F.expr(f"interval {within}")
+    answers = F.coalesce(F.coalesce(last["open"], F.lit(False)) & soon, F.lit(False))
+    both = F.when(answers, F.concat_ws(" ", last["user_message"], F.col("user_message"))).otherwise(F.col("user_message"))
+    rows = with_previous(turns, "session_id", "turn_ts", "turn_id", 1, before)
+    return rows.select("turn_id", answers.alias("answers"), both.alias("question"), F.coalesce("is_ambiguous", F.lit(False)).alias("pending"))
+
+
 def with_previous(turns: DataFrame, key: str, at: str, tie: str, n: int, value: Column) -> DataFrame:
     """``turns`` with ``previous``: the values of the ``n`` rows of the same key before, oldest first.
 

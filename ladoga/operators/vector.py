@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 ROWS, QUERIES = 20_000, 2_000
 
@@ -50,3 +51,22 @@ def stale_free(vectors: DataFrame, fragments: DataFrame) -> DataFrame:
 def missing_vectors(fragments: DataFrame, vectors: DataFrame) -> DataFrame:
     """Fragments without a vector."""
     return fragments.join(vectors.select("id"), "id", "left_anti")
+
+
+def of_common_dimension(vectors: DataFrame, stored: DataFrame) -> DataFrame:
+    """``vectors`` whose ``embedding`` has as many numbers as most of the stored ones."""
+    size = F.size("embedding")
+    by = stored.where("embedding is not null").groupBy(size.alias("dims")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").head()
+    return vectors.where(size == F.lit(by["dims"])) if by else vectors.limit(0)
+
+
+@F.pandas_udf(BinaryType())
+def to_blob(vectors: pd.Series) -> pd.Series:
+    """Little-endian 32-bit numbers one after another; a null stays null."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def from_blob(blobs: pd.Series) -> pd.Series:
+    """The numbers of a blob; null where its bytes are no whole numbers."""
+    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))

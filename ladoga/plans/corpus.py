@@ -140,7 +140,12 @@ def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.fixed_windows(docs).select("id", "chunk_index", "start", F.sha2("text", 256).alias("hash"))
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT doc_id AS id, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t]*\n+'), lambda p: trim(p, ' ')), lambda p: p <> '') AS parts FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT id, string_split(list_reduce(parts, lambda a, p: CASE WHEN length(string_split(a, chr(1))[-1]) < 50 THEN a || chr(10) || p ELSE a || chr(1) || p END), chr(1)) AS folded FROM p WHERE len(parts) > 0),
+    c AS (SELECT id, flatten(list_transform(folded, lambda p: CASE WHEN length(p) > 1000 THEN list_transform(regexp_extract_all(p, '(?s).{1,799}[ \n]|.{1,800}'), lambda x: trim(x, ' ')) ELSE [p] END)) AS chunks FROM f)
+    SELECT id, (generate_subscripts(chunks, 1) - 1)::INT AS chunk_index, unnest(chunks) AS text FROM c"""
+)
 def paragraph_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.paragraphs(table(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id"))
 
@@ -188,17 +193,18 @@ def url_allowed(spark: SparkSession, d: str) -> DataFrame:
 
 REPLIES = "(SELECT DISTINCT turn_id AS id, bot_reply AS text FROM dialog_turns WHERE bot_reply IS NOT NULL)"
 DB_CLAIMS = {
-    "code": ("(^|[^0-9.])([0-9]{2}\\.[0-9]{2}\\.[0-9]{2})(?:$|[^0-9.])", 2), "date": ("(^|[^0-9])([0-9]{1,2}\\.[0-9]{1,2}\\.20[0-9]{2})(?:$|[^0-9])", 2),
-    "money": ("([0-9]{1,3}(?: [0-9]{3})+) руб", 1), "mail": ("([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)", 1),
+    "code": ("(^|[^0-9.])([0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{2}})(?:$|[^0-9.])", 2), "date": ("(^|[^0-9])([0-9]{{1,2}}\\.[0-9]{{1,2}}\\.20[0-9]{{2}})(?:$|[^0-9])", 2),
+    "money": ("([0-9]{{1,3}}(?: [0-9]{{3}})+) руб", 1), "mail": ("([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+)", 1),
+    "phone": ("((?:\\+7|8)?[ -]?\\(?[0-9]{{3}}\\)?[ -]?[0-9]{{3}}[ -]?[0-9]{{2}}[ -]?[0-9]{{2}})(?:$|[^0-9])", 1),
 }
+#: Claims ``id, kind, value`` of ``{rows}`` (id, text).
+CLAIM_SQL = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, unnest(list_distinct(list_transform(regexp_extract_all(text, '{p}', {g}), lambda v: trim(v, ' ')))) AS value FROM {{rows}}" for k, (p, g) in DB_CLAIMS.items())
 
 
-@query(
-    " UNION ALL ".join(f"SELECT id, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p}', {g}))) AS value FROM {REPLIES}" for k, (p, g) in DB_CLAIMS.items())
-)
+@query(CLAIM_SQL.format(rows=REPLIES))
 def extract_claims(spark: SparkSession, d: str) -> DataFrame:
     replies = table(spark, d, "dialog_turns", "turn_id", "bot_reply").dropDuplicates(["turn_id"]).select(F.col("turn_id").alias("id"), F.col("bot_reply").alias("text"))
-    return grounding.claims(replies).where("kind <> 'phone'")
+    return grounding.claims(replies)
 
 
 @query(

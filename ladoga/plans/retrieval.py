@@ -151,6 +151,10 @@ def dedup_url_prefix(spark: SparkSession, d: str) -> DataFrame:
 EVIDENCE = "ev AS (SELECT * FROM (SELECT *, sum(CASE WHEN rank > 4 AND coverage >= 0.4 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM fused) WHERE rank <= 4 OR (coverage >= 0.4 AND nth <= 2))"
 
 
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.evidence(_fused(spark, d))
+
+
 @query(f"WITH {FUSED}, {EVIDENCE} SELECT query_id, id, rank, coverage FROM ev")
 def evidence_select(spark: SparkSession, d: str) -> DataFrame:
     return fusion.evidence(_fused(spark, d)).select("query_id", "id", "rank", "coverage")
@@ -232,13 +236,6 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return vector.cosine_top_k(v, v.where(f"id % {EVERY} = 0").select(F.col("id").alias("query_id"), "vector"), 10)
 
 
-@query("SELECT vec_id AS id, version_number FROM embeddings JOIN (SELECT DISTINCT id, version_number FROM fragments) f ON vec_id = f.id WHERE version_number = 1")
-def stale_vectors_excluded(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings", "vec_id").select(F.col("vec_id").alias("id"), F.lit(1).alias("content_version"))
-    frags = table(spark, d, "fragments", "id", "version_number").dropDuplicates(["id"])
-    return vector.stale_free(vectors, frags).select("id", F.col("content_version").alias("version_number"))
-
-
 @query("SELECT DISTINCT id, text_hash FROM fragments WHERE id NOT IN (SELECT vec_id FROM embeddings)")
 def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings", "vec_id").withColumnRenamed("vec_id", "id")
