@@ -108,6 +108,31 @@ def address(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.concat(host, rest), "/+$", ""), "^http:", "https:")
 
 
+def absolute(href: str | Column, base: str | Column) -> Column:
+    """A link as a whole address, without fragment and slashes at its end, read against the address of its page."""
+    h, url = _c(href), _c(base)
+    site = F.regexp_extract(url, "^(https?://[^/?#]+)", 1)
+    whole = (
+        F.when(h.rlike("^https?://"), h).when(F.startswith(h, F.lit("//")), F.concat(F.lit("https:"), h)).when(F.startswith(h, F.lit("/")), F.concat(site, h))
+        .when((h == "") | F.startswith(h, F.lit("#")), url).otherwise(F.concat(F.regexp_replace(url, "[^/]*$", ""), h))
+    )
+    return F.regexp_replace(F.regexp_replace(whole, "#.*$", ""), "/+$", "")
+
+
+def unescaped(c: str | Column) -> Column:
+    """The common entities of HTML resolved, the ampersand last."""
+    c = _c(c)
+    for entity, sign in (("&nbsp;", " "), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(sign))
+    return c
+
+
+def without_phrases(c: str | Column, pattern: str) -> Column:
+    """Without the phrases of ``(before)(phrase)(after)``, twice, as neighbouring ones share a blank; blanks made one."""
+    out = F.regexp_replace(F.regexp_replace(_c(c), pattern, "$1$3"), pattern, "$1$3")
+    return F.trim(F.regexp_replace(out, " +", " "))
+
+
 def any_of(c: Column, words: list[str]) -> Column:
     """Whether the text contains any of the words."""
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))

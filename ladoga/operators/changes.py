@@ -76,3 +76,9 @@ def numbered(rows: DataFrame, order: Column, start: int = 0) -> DataFrame:
 def cache_key(question: str, *parts: str) -> Column:
     """The hash of a question's normal form and of all else its answer depends on; nulls count as empty."""
     return F.sha2(F.concat_ws("|", normalize(question), *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+
+
+def replaced(rows: DataFrame, key: str, at: str, content: str) -> DataFrame:
+    """Rows whose content the next row of the same key changes, with ``replaced_at``."""
+    w = Window.partitionBy(key).orderBy(at, "id")
+    return rows.withColumn("_next", F.lead(content).over(w)).withColumn("replaced_at", F.lead(at).over(w)).where(F.col("_next") != F.col(content)).drop("_next")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladoga.functions.text import question_terms
+from ladoga.functions.text import found, normalize, question_terms, stem
 
 #: Address classes by a part of the path, the first that fits; kind and factor.
 URL_KINDS: list[tuple[str, str, float]] = [
@@ -56,3 +56,15 @@ def without_roots(scored: DataFrame) -> DataFrame:
 def coverage(terms: Column, text: Column) -> Column:
     """The share of the terms among the words of the text."""
     return F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, question_terms(text))) / F.size(terms)).otherwise(0.0)
+
+
+def by_keywords(candidates: DataFrame) -> DataFrame:
+    """``question, body`` with ``hit`` and ``relevance``: a quarter for each term of the question whose stem the text has, a
+    half if it has all of at least three, three tenths of their share from a half on, and three tenths a code."""
+    terms, norm = question_terms("question"), normalize("body")
+    n = F.size(terms).cast("double")
+    hit = F.size(F.filter(terms, lambda w: F.contains(norm, stem(w)))).cast("double")
+    codes = F.array_distinct(found("question", "[0-9]{2}\\.[0-9]{2}\\.[0-9]{2}"))
+    named = F.size(F.filter(codes, lambda e: F.contains(F.col("body"), e)))
+    score = 0.25 * hit + F.when((n >= 3) & (hit == n), 0.5).otherwise(0.0) + F.when((n > 0) & (hit / n >= 0.5), 0.3 * hit / n).otherwise(0.0) + 0.3 * named
+    return candidates.withColumn("hit", hit.cast("int")).withColumn("relevance", F.round(score, 6))

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladoga.plans import answers, corpus, dialogs, retrieval, state
+from ladoga.plans import answers, corpus, dialogs, relevance, retrieval, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-for _module in (corpus, retrieval, dialogs, state, answers):
+for _module in (corpus, retrieval, dialogs, state, answers, relevance):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
 

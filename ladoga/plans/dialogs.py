@@ -9,6 +9,7 @@ from ladoga.functions import text as T
 from ladoga.operators import lexical, understanding
 from ladoga.plans.corpus import ASKED, QTERMS, TERMS, questions
 from ladoga.plans.registry import registry
+from ladoga.plans.retrieval import SYNONYMS
 from ladoga.workspace import table
 
 QUERIES, SQL, query = registry()
@@ -31,13 +32,16 @@ def topic_argmax(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("id", understanding.topic(F.col("text")).alias("topic"))
 
 
-@query(
-    f"""SELECT id, nullif(regexp_extract(text, '(^|[^0-9.])([0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{2}})($|[^0-9.])', 2), '') AS code,
-    nullif(regexp_extract(upper(text), '(^|[^А-ЯЁA-Z])([А-ЯЁA-Z]{{2}}-[0-9]{{2}})($|[^0-9])', 2), '') AS grp, nullif(regexp_extract(lower(text), '([0-9]) курс', 1), '') AS course FROM {ASKED}"""
-)
+ENTITY = {
+    "code": "nullif(regexp_extract(text, '(^|[^0-9.])([0-9]{2}\\.[0-9]{2}\\.[0-9]{2})($|[^0-9.])', 2), '')", "year": "nullif(regexp_extract(text, '20[0-9]{2}[/-]20[0-9]{2}'), '')",
+    "grp": "nullif(regexp_extract(upper(text), '(^|[^А-ЯЁA-Z])([А-ЯЁA-Z]{2}-[0-9]{2})($|[^0-9])', 2), '')", "course": "nullif(regexp_extract(lower(text), '([0-9]) курс', 1), '')",
+}
+
+
+@query(f"SELECT id, {', '.join(f'{e} AS {k}' for k, e in ENTITY.items())} FROM {ASKED}")
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    e = understanding.entities(F.col("text"))
-    return questions(spark, d).withColumn("e", e).select("id", F.col("e")["code"].alias("code"), F.col("e")["group"].alias("grp"), F.col("e")["course"].alias("course"))
+    e = F.col("e")
+    return questions(spark, d).withColumn("e", understanding.entities(F.col("text"))).select("id", e["code"].alias("code"), e["year"].alias("year"), e["group"].alias("grp"), e["course"].alias("course"))
 
 
 @query(f"SELECT id, list_filter([{', '.join(f'CASE WHEN {_hits(w, chr(116) + chr(101) + chr(120) + chr(116))} > 0 THEN {chr(39)}{k}{chr(39)} END' for k, w in understanding.CONDITIONS.items())}], lambda c: c IS NOT NULL) AS conditions FROM {ASKED}")
@@ -47,10 +51,11 @@ def conditions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT id, {' OR '.join(f"starts_with({FOLD.format('text')}, '{g}')" for g in understanding.GREETINGS)} AS greeting,
-    coalesce({TERMS.format('text')}[1] IN ({', '.join(repr(w) for w in understanding.FOLLOW_UPS)}), false) AS follow_up FROM {ASKED}"""
+    coalesce({TERMS.format('text')}[1] IN ({', '.join(repr(w) for w in understanding.FOLLOW_UPS)}), false) AS follow_up,
+    len({TERMS.format('text')}) < 3 OR ({_topic('text')} IS NULL AND coalesce({', '.join(ENTITY.values())}) IS NULL) AS vague FROM {ASKED}"""
 )
 def intent_flags(spark: SparkSession, d: str) -> DataFrame:
-    return understanding.intent(questions(spark, d)).select("id", "greeting", "follow_up")
+    return understanding.intent(questions(spark, d)).select("id", "greeting", "follow_up", "vague")
 
 
 @query(f"WITH t AS (SELECT coalesce({_topic('text')}, '-') AS topic FROM {ASKED}) SELECT topic, count(*) AS questions, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM t GROUP BY 1")
@@ -60,7 +65,6 @@ def topic_report(spark: SparkSession, d: str) -> DataFrame:
     return by.withColumn("percent", F.round(100.0 * F.col("questions") / F.lit(total), 4))
 
 
-SYNONYMS = [("экзамены", "испытания"), ("стоит", "стоимость"), ("обучение", "учеба"), ("документы", "справки"), ("общежитие", "проживание")]
 _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS)
 
 

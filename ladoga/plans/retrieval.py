@@ -254,17 +254,36 @@ def embedding_status(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("percent", F.round(100.0 * F.col("embedded") / F.col("fragments"), 4))
 
 
-@query()
+SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([!?;]|[^0-9][.])[ \\t]+', '\\1' || chr(1), 'g'), '[\\x01\\n]'), lambda s: trim(s, ' ')), lambda s: s <> '')"
+
+
+@query(
+    f"""WITH {FUSED}, {EVIDENCE},
+    x AS (SELECT query_id, id, rank, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS n FROM (SELECT query_id, id, rank, {SENTENCES.format('text')} AS l FROM ev)),
+    m AS (SELECT x.*, len(list_intersect({QTERMS.format('sentence')}, terms)) AS matched, len(terms) AS n_terms FROM x JOIN ql USING (query_id) WHERE NOT ends_with(sentence, '?')),
+    k AS (SELECT *, 10 * matched - rank AS score, row_number() OVER (PARTITION BY query_id, sentence ORDER BY rank, id, n) AS k FROM m WHERE matched > 0 AND matched >= 0.5 * n_terms)
+    SELECT query_id, place::INT AS place, id, sentence, matched::INT AS matched FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, id, n) AS place FROM k WHERE k = 1) WHERE place <= 4"""
+)
 def extractive_answer(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of the evidence that have most of each question's words."""
-    return grounding.extractive_answers(cut(fusion.evidence(_fused(spark, d))), asked(spark, d))
+    return grounding.extractive_answers(cut(evidence(spark, d)), asked(spark, d))
+
 
+SYNONYMS = [("экзамены", "испытания"), ("стоит", "стоимость"), ("обучение", "учеба"), ("документы", "справки"), ("общежитие", "проживание")]
+_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS)
 
-@query()
+
+@query(
+    f"""WITH {BM25}, s(term, synonym) AS (VALUES {_VALUES}), n_terms AS (SELECT query_id, count(*) AS terms FROM q GROUP BY 1), first AS (SELECT * FROM bmr WHERE rank <= 10),
+    weak AS (SELECT query_id FROM first JOIN n_terms USING (query_id) GROUP BY query_id, terms HAVING max(matched::DOUBLE / terms) < 0.6),
+    more AS (SELECT query_id, term FROM q JOIN weak USING (query_id) UNION SELECT query_id, synonym FROM q JOIN weak USING (query_id) JOIN s USING (term)),
+    again AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM post JOIN idf USING (term) JOIN more USING (term), n GROUP BY 1, 2),
+    second AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM again) WHERE rank <= 10),
+    every AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM first UNION ALL SELECT query_id, id, score FROM second) GROUP BY 1, 2)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM every) WHERE rank <= 10"""
+)
 def retried_questions(spark: SparkSession, d: str) -> DataFrame:
     """Questions whose evidence doesn't suffice are asked again with synonyms; both results are joined, the better rank kept."""
-    from ladoga.plans.dialogs import SYNONYMS
-
     index, terms = lexical.indexed(fragments(spark, d)), cut(lexical.query_terms(asked(spark, d)))
     first = cut(lexical.top_k(lexical.bm25(index, terms), 10))
     words = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
