@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ladoga.functions.text import index_tokens, question_terms
@@ -59,7 +59,38 @@ def bm25(docs: DataFrame, terms: DataFrame) -> DataFrame:
     docs = docs if "w" in docs.columns else indexed(docs)
     n, mean = corpus_size(docs)
     post = postings(docs, terms)
-    weights = term_statistics(post).select("term", idf(F.col("df"), n).alias("idf"))
+    return _scored(post, term_statistics(post), terms, n, mean)
+
+
+#: Postings are stored in so many folders by the hash of the term, so that a question reads only those of its terms.
+BUCKETS = 64
+
+
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def store_index(docs: DataFrame, folder: str) -> None:
+    """The postings of ``id, text`` and what ranking needs to know of terms and texts, written once for many questions."""
+    docs = indexed(docs)
+    post = postings(docs)
+    post.select("*", _bucket("term")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    stored = docs.sparkSession.read.parquet(f"{folder}/postings")
+    term_statistics(stored).select("*", _bucket("term")).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms")
+    docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{folder}/size")
+
+
+def bm25_stored(spark: SparkSession, folder: str, terms: DataFrame) -> DataFrame:
+    """As ``bm25``, from a stored index; of it only the folders of the terms asked for are read."""
+    size = spark.read.parquet(f"{folder}/size").head()
+    asked = cut(terms)
+    words = broadcast_within(cut(asked.select("term", _bucket("term")).distinct()))
+    post, stats = (spark.read.parquet(f"{folder}/{name}").join(words, ["bucket", "term"], "left_semi") for name in ("postings", "terms"))
+    return _scored(post.drop("bucket"), stats.drop("bucket"), asked, size["n"], size["mean"] or 1.0)
+
+
+def _scored(post: DataFrame, stats: DataFrame, terms: DataFrame, n: int, mean: float) -> DataFrame:
+    weights = stats.select("term", idf(F.col("df"), n).alias("idf"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
     return (
