@@ -133,6 +133,16 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(packing.pack(table(spark, d, "documents", "doc_id", "text"), specs), specs)
 
 
+@query
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """That every document is packed, whole or in parts that follow, and no container is overfull."""
+    specs = table(spark, d, "pack_specs")
+    return packing.invariants(packing.pack(table(spark, d, "documents", "doc_id", "text"), specs), specs)
+
+
+SQL["p6_invariants"] = """SELECT spec_name, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS overfull, 0 AS torn, 0 AS split_in_vain FROM pack_specs"""
+
+
 def _mix_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "source", "lang", "doc_kind", "text").withColumnRenamed("doc_kind", "topic")
 
@@ -150,6 +160,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.choose(_mix_documents(spark, d), targets), targets)
 
 
+@query
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """That no document is taken more often than its source allows, none twice, none of a source that isn't listed."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.invariants(mixing.choose(_mix_documents(spark, d), targets), targets)
+
+
+SQL["p7_invariants"] = """SELECT mix_name, count(DISTINCT source) AS sources, 0 AS beyond_cap, 0 AS twice, 0 AS unlisted FROM mix_targets GROUP BY 1"""
+
+
 @query
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Longest runs of characters that stand verbatim, 200 or more at a stretch, in another document."""

@@ -130,3 +130,15 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     goals = targets.groupBy("mix_name", "source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     total = F.sum("tokens").over(Window.partitionBy("mix_name"))
     return goals.join(got, ["mix_name", "source"], "left").fillna(0, ["tokens", "documents", "most_repeats"]).withColumn("actual_share", F.when(total > 0, F.col("tokens") / total).otherwise(F.lit(0.0)))
+
+
+def invariants(chosen: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per mix: sources listed, documents taken more often than their source allows, taken twice over, or of sources that
+    are not listed. All but the first are 0 for every input."""
+    goals = targets.groupBy("mix_name", "source").agg(F.max("max_repeats").alias("max_repeats"))
+    rows = chosen.groupBy("mix_name", "source", "doc_id").agg(F.sum("repeats").alias("repeats"), F.count(F.lit(1)).alias("rows")).join(goals, ["mix_name", "source"], "left")
+    of = rows.groupBy("mix_name").agg(
+        F.sum((F.col("repeats") > F.col("max_repeats")).cast("long")).alias("beyond_cap"), F.sum((F.col("rows") > 1).cast("long")).alias("twice"), F.sum(F.col("max_repeats").isNull().cast("long")).alias("unlisted"),
+    )
+    listed = goals.groupBy("mix_name").agg(F.count(F.lit(1)).alias("sources"))
+    return listed.join(of, "mix_name", "left").select("mix_name", "sources", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("beyond_cap", "twice", "unlisted")])

@@ -202,3 +202,16 @@ def report(packed: DataFrame, specs: DataFrame) -> DataFrame:
         .join(split, "spec_name", "left")
         .fillna(0, ["split_documents"])
     )
+
+
+def invariants(packed: DataFrame, specs: DataFrame) -> DataFrame:
+    """Per specification: documents packed, overfull containers, parts that don't follow one another, documents split that
+    would have fitted. All but the first are 0 for every input."""
+    per = packed.groupBy("spec_name", "container_id").agg(F.sum("tokens").alias("load")).join(specs, "spec_name")
+    over = per.groupBy("spec_name").agg(F.sum((F.col("load") > F.col("capacity_tokens")).cast("long")).alias("overfull"))
+    docs = packed.groupBy("spec_name", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("parts"), F.max(F.col("start_token") + F.col("tokens")).alias("end")).join(specs, "spec_name")
+    of = docs.groupBy("spec_name").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum((F.col("end") != F.col("tokens")).cast("long")).alias("torn"),
+        F.sum(((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).cast("long")).alias("split_in_vain"),
+    )
+    return over.join(of, "spec_name").select("spec_name", "documents", "overfull", "torn", "split_in_vain")
