@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladoga.functions import text as T
-from ladoga.operators import chunking, grounding, rescoring
+from ladoga.operators import chunking, grounding, rescoring, understanding
 from ladoga.plans.registry import registry
 from ladoga.sources import html
 from ladoga.workspace import table
@@ -21,6 +21,19 @@ STOPS = "(" + ", ".join(f"'{w}'" for w in T.STOP) + ")"
 QTERMS = "list_sort(list_distinct(list_filter(" + TERMS.format("{0}") + f", lambda w: length(w) >= 3 AND w NOT IN {STOPS})))"
 
 
+FOLD = "replace(lower({0}), 'ё', 'е')"
+
+
+def _hits(words: list[str], text: str) -> str:
+    return "(" + " + ".join(f"contains({FOLD.format(text)}, '{w}')::INT" for w in words) + ")"
+
+
+def _topic(text: str) -> str:
+    each = {k: _hits(w, text) for k, w in understanding.TOPICS.items()}
+    best = f"greatest({', '.join(each.values())})"
+    return f"CASE WHEN {best} = 0 THEN NULL " + " ".join(f"WHEN {h} = {best} THEN '{k}'" for k, h in each.items()) + " END"
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chat_requests", "request_id", "question").where("question is not null").select(F.col("request_id").alias("id"), F.col("question").alias("text")).dropDuplicates(["id"])
 

@@ -7,26 +7,13 @@ from pyspark.sql import functions as F
 
 from ladoga.functions import text as T
 from ladoga.operators import lexical, understanding
-from ladoga.plans.corpus import ASKED, QTERMS, TERMS, questions
+from ladoga.plans.corpus import ASKED, FOLD, QTERMS, TERMS, _hits, _topic, questions
 from ladoga.plans.registry import registry
 from ladoga.plans.retrieval import SYNONYMS
 from ladoga.workspace import table
 
 QUERIES, SQL, query = registry()
 
-FOLD = "replace(lower({0}), 'ё', 'е')"
-
-
-def _hits(words: list[str], text: str) -> str:
-    return "(" + " + ".join(f"contains({FOLD.format(text)}, '{w}')::INT" for w in words) + ")"
-
-
-def _topic(text: str) -> str:
-    each = {k: _hits(w, text) for k, w in understanding.TOPICS.items()}
-    best = f"greatest({', '.join(each.values())})"
-    return f"CASE WHEN {best} = 0 THEN NULL " + " ".join(f"WHEN {h} = {best} THEN '{k}'" for k, h in each.items()) + " END"
-
-
 @query(f"SELECT id, {_topic('text')} AS topic FROM {ASKED}")
 def topic_argmax(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("id", understanding.topic(F.col("text")).alias("topic"))

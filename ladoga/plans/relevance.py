@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ladoga.functions import text as T
 from ladoga.operators import changes, chunking, rescoring, understanding
 from ladoga.plans.corpus import ASKED, NORM, PAGES, QTERMS, TERMS, pages, questions
-from ladoga.plans.dialogs import SYNONYMS, _hits, turns
+from ladoga.plans.dialogs import SYNONYMS, turns
 from ladoga.plans.registry import registry
 from ladoga.plans.retrieval import BM25, Q, _ranked, asked
 from ladoga.plans.state import F_
@@ -55,7 +55,6 @@ def synonym_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STEM = "regexp_replace({0}, '^(.{{3,}}?)(" + "|".join(T.SUFFIXES) + ")$', '\\1')"
-_BUDGET = _hits(understanding.CONDITIONS["budget"], "text")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ladoga.functions import text as T
 from ladoga.operators import fusion, grounding, lexical, rescoring, understanding, vector
-from ladoga.plans.corpus import FRAGS, QTERMS, URL_KIND, fragments
+from ladoga.plans.corpus import FRAGS, QTERMS, URL_KIND, _topic, fragments
 from ladoga.plans.registry import registry
 from ladoga.workspace import cut, table
 
@@ -189,17 +189,18 @@ def hybrid_pipeline(spark: SparkSession, d: str) -> DataFrame:
       FROM (SELECT * FROM bmr WHERE rank <= 10) b JOIN {Q} qq USING (query_id) JOIN (SELECT DISTINCT id, section_title, specialty_code, page_id FROM fragments) f USING (id)
       LEFT JOIN (SELECT DISTINCT id AS page_id, url FROM pages) p ON p.page_id = f.page_id),
     k AS (SELECT *, {URL_KIND} AS kind, {QTERMS.format('question')} AS qt, {QTERMS.format("coalesce(section_title, '')")} AS st FROM c),
-    s AS (SELECT query_id, id, base, CASE WHEN coalesce(contains(question, specialty_code), false) THEN 0.4 ELSE 0.0 END::DOUBLE AS code,
+    s AS (SELECT query_id, id, base, CASE WHEN {_topic('question')} = {_topic("coalesce(section_title, '')")} THEN 0.15 ELSE 0.0 END::DOUBLE AS context, CASE WHEN coalesce(contains(question, specialty_code), false) THEN 0.4 ELSE 0.0 END::DOUBLE AS code,
       round(CASE WHEN len(qt) > 0 THEN 0.15 * len(list_intersect(qt, st)) / len(qt) ELSE 0.0 END, 6) AS section,
       CASE kind WHEN 'root' THEN 0.15 {" ".join(f"WHEN '{n}' THEN {v}" for _, n, v in rescoring.URL_KINDS)} ELSE 1.0 END::DOUBLE AS factor FROM k)
-    SELECT *, round((base + code + section) * factor + 1e-9, 6) AS score FROM s"""
+    SELECT *, round((base + code + section + context) * factor + 1e-9, 6) AS score FROM s"""
 )
 def score_bonus(spark: SparkSession, d: str) -> DataFrame:
     ranked = _ranked(spark, d).join(asked(spark, d).withColumnRenamed("text", "question"), "query_id")
     frags = table(spark, d, "fragments", "id", "section_title", "specialty_code", "page_id").dropDuplicates(["id"])
     urls = table(spark, d, "pages", "id", "url").dropDuplicates(["id"]).withColumnRenamed("id", "page_id")
-    cand = ranked.join(frags, "id").join(urls, "page_id", "left").withColumn("topic", F.lit(None).cast("string")).withColumn("text_topic", F.lit(None).cast("string"))
-    return rescoring.rescored(cand).drop("context")
+    cand = ranked.join(frags, "id").join(urls, "page_id", "left")
+    cand = cand.withColumn("topic", understanding.topic(F.col("question"))).withColumn("text_topic", understanding.topic(F.coalesce("section_title", F.lit(""))))
+    return rescoring.rescored(cand)
 
 
 @query(

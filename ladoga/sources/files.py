@@ -26,12 +26,22 @@ def decode(body: bytes | None, content_type: str | None = None) -> str | None:
     return body.decode("cp1251", "replace")
 
 
+_STRING = r"\(((?:\\.|[^\\()])*)\)"
+_SHOWN = re.compile(_STRING + r"\s*(?:Tj|'|\")|\[((?:\((?:\\.|[^\\()])*\)|[-+\d.\s])*)\]\s*TJ")
+_PART = re.compile(rf"{_STRING}|([-+]?[\d.]+)")
+
+
 def pdf_text(body: bytes | None) -> str | None:
     """Strings shown within text blocks; if that gives next to nothing, the longest printable runs."""
     if body is None:
         return None
     raw = body.decode("latin-1")
-    shown = [s for block in re.findall(r"BT(.*?)ET", raw, re.S) for s in re.findall(r"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|'|\")", block)]
+    shown = []
+    for block in re.findall(r"BT(.*?)ET", raw, re.S):
+        for one, array in _SHOWN.findall(block):
+            # the strings of an array are parts of words, moved by the numbers between; a large step back is a blank
+            parts = [(s if s or not n else " " if float(n) < -200 else "") for s, n in _PART.findall(array)] if array else [one]
+            shown.append("".join(parts))
     text = " ".join(re.sub(r"\\([()\\])", r"\1", s) for s in shown)
     if len(text) < 50:
         runs = re.findall(r"[A-Za-zА-Яа-яЁё0-9 .,:;()\-]{5,}", body.decode("utf-8", "ignore"))

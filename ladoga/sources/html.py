@@ -106,10 +106,14 @@ def sections(parsed: DataFrame) -> DataFrame:
     return parsed.select("id", F.posexplode("sections").alias("position", "s")).select("id", "position", "s.*")
 
 
-def table_lines(parsed: DataFrame) -> DataFrame:
-    """One row per table row: ``id, table_no, row_no, line``, each cell with the column's head before it."""
+def table_lines(parsed: DataFrame, keep_empty: bool = True) -> DataFrame:
+    """One row per table row: ``id, table_no, row_no, line``, each cell with the column's head before it. Without
+    ``keep_empty`` empty cells are dropped first, so that those after them move to the column before."""
     t = parsed.select("id", F.posexplode("tables").alias("table_no", "rows")).withColumn("head", F.get("rows", F.lit(0)))
     r = t.select("id", "table_no", "head", F.posexplode("rows").alias("row_no", "cells")).where("row_no > 0")
+    if not keep_empty:
+        full = lambda c: F.filter(c, lambda x: F.coalesce(x, F.lit("")) != "")
+        r = r.withColumn("head", full("head")).withColumn("cells", full("cells"))
     cells = F.transform(F.arrays_zip(F.col("head").alias("h"), F.col("cells").alias("c")), lambda x: F.concat_ws(": ", F.nullif(x["h"], F.lit("")), F.nullif(x["c"], F.lit(""))))
     return r.select("id", "table_no", "row_no", F.array_join(F.filter(cells, lambda x: x != ""), "; ").alias("line"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,6 +16,8 @@ from ladoga.operators.changes import latest, merge_by_hash
 IDLE_MS = 30 * 60 * 1000
 #: Turns kept of a session.
 KEPT = 5
+#: Batches between snapshots of the merged pages.
+COMPACT = 20
 
 SESSION = "session_id string, started timestamp, ended timestamp, turns long, topic string, last_messages array<string>, closed boolean"
 STATE = "started long, ended long, turns long, topic string, last_messages array<string>"
@@ -62,20 +65,33 @@ def metric_stream(events: DataFrame, window: str = "1 hour", late: str = "10 min
     return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
-def merge_pages(store: str):
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """``url, content_hash, version, batch`` of a folder; none where nothing was stored yet. Other errors are errors."""
+    try:
+        rows = spark.read.parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "url string, content_hash string, version int, batch long")
+    return rows.select("url", "content_hash", "version", F.col("batch").cast("long").alias("batch"))
+
+
+def merge_pages(store: str, compact: int = COMPACT):
     """For ``foreachBatch``: keeps the newest row of each address below ``store``, one folder a batch, and a log of what
-    each batch changed. A batch that is run again writes its folder again."""
+    each batch changed. A batch that is run again writes its folder again. Every ``compact`` batches the whole state is
+    written once more as a snapshot, so a batch reads one snapshot and fewer than ``compact`` folders."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         newest = latest(batch, ["url"], F.desc("fetched_at"), F.desc("id")).select("url", "content_hash", "fetched_at", "id")
-        try:
-            current = spark.read.parquet(f"{store}/state").where(F.col("batch") < number)
-            current = latest(current, ["url"], F.desc("batch"))
-        except Exception:  # noqa: BLE001 - nothing stored yet
-            current = spark.createDataFrame([], "url string, content_hash string, version int, batch long")
+        since = number - number % compact  # the snapshot holds all batches before it
+        snapshot = _stored(spark, f"{store}/snapshots/{since}")
+        current = latest(snapshot.unionByName(_stored(spark, f"{store}/state").where((F.col("batch") >= since) & (F.col("batch") < number))), ["url"], F.desc("batch"))
         merged = merge_by_hash(current, newest, "url", "content_hash").where("status in ('new', 'updated', 'unchanged')")
         rows = newest.join(merged, "url").select("url", "content_hash", "version", "status")
         rows.write.mode("overwrite").parquet(f"{store}/state/batch={number}")
+        if (number + 1) % compact == 0:
+            both = current.unionByName(rows.select("url", "content_hash", "version", F.lit(number).cast("long").alias("batch")))
+            latest(both, ["url"], F.desc("batch")).write.mode("overwrite").parquet(f"{store}/snapshots/{number + 1}")
 
     return run

@@ -78,6 +78,16 @@ def test_pages_merge_stream(spark, tmp_path):
     assert {(r["batch"], r["url"], r["status"], r["version"]) for r in rows} == {(0, "u", "new", 1), (0, "v", "new", 1), (1, "u", "unchanged", 1), (1, "v", "updated", 2), (1, "w", "new", 1)}
 
 
+def test_merge_with_snapshots(spark, tmp_path):
+    store = str(tmp_path / "store")
+    merge = jobs.merge_pages(store, compact=2)
+    for n in range(5):
+        merge(spark.createDataFrame([(n, "u", str(n // 2), at(n)), (n, f"x{n}", "1", at(n))], "id long, url string, content_hash string, fetched_at timestamp"), n)
+    rows = {(r["batch"], r["url"]): (r["status"], r["version"]) for r in spark.read.parquet(f"{store}/state").collect()}
+    assert [rows[n, "u"] for n in range(5)] == [("new", 1), ("unchanged", 1), ("updated", 2), ("unchanged", 2), ("updated", 3)]
+    assert {r["url"] for r in spark.read.parquet(f"{store}/snapshots/4").collect()} == {"u", "x0", "x1", "x2", "x3"}
+
+
 def test_metric_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "ts timestamp, event_type string, value double"

@@ -78,3 +78,12 @@ def test_section_fragments(spark):
     got = chunking.section_fragments(df).orderBy("id", "chunk_index").collect()
     assert [r["chunk_index"] for r in got] == list(range(len(got))) and {r["title"] for r in got} == {"B 54.02.01", "D"}
     assert max(len(r["text"]) for r in got) <= 600 and got[0]["code"] == "54.02.01" and got[-1]["year"] == "2025/2026"
+
+
+def test_pdf_arrays_of_strings():
+    assert files.pdf_text(b"BT [(Hel) -20 (lo) -350 (wor) (ld of text that is long enough to be taken as it is)] TJ ET") == "Hello world of text that is long enough to be taken as it is"
+
+
+def test_empty_cells_may_be_dropped(spark):
+    df = spark.createDataFrame([(1, [[["a", "b", "c"], ["1", "", "3"]]])], "id long, tables array<array<array<string>>>")
+    assert html.table_lines(df).head()["line"] == "a: 1; b; c: 3" and html.table_lines(df, keep_empty=False).head()["line"] == "a: 1; b: 3; c"
