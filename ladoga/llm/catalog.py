@@ -176,6 +176,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "documents", "doc_id", "text"))
 
 
+_SHARED = """WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, i AS s, hash(substr(text, i + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS i FROM d)),
+m AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+n AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM w JOIN m USING (h)),
+g AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM n),
+found AS (SELECT doc_id, min(s) AS start_pos, max(s) + 200 AS end_pos FROM g GROUP BY doc_id, run)"""
+SQL["p8_found"] = f"{_SHARED} SELECT doc_id, start_pos, end_pos FROM found"
+SQL["p8_report"] = f"""{_SHARED}, r AS (SELECT doc_id, sum(end_pos - start_pos)::BIGINT AS shared_chars, count(*) AS n_runs FROM found GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0) AS chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(n_runs, 0) AS n_runs,
+CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0)::DOUBLE / length(text) ELSE 0.0 END AS share FROM (SELECT DISTINCT doc_id, text FROM documents) LEFT JOIN r USING (doc_id)"""
+
+
 @query
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Share of each document's text that stands in other documents."""
