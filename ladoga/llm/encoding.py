@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladoga.workspace import cut
+from ladoga.workspace import cut, once
 
 #: The dictionary of a language is a model of bounded size: its most frequent words. The counts cover all documents.
 WORDS = 12_000
@@ -54,12 +54,13 @@ DECODINGS = ("utf_8", "cp1251", "koi8_r", "cp866", "cp1252", "iso8859_5", "mac_c
 def vocabulary(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``lang, word, n``: at most ``words`` most frequent words and signs of each language; a null language is one of its own.
 
-    The least count that is let in is read off the numbers of words by count, so no task ever sorts a language's words;
+    Equal texts count once: a garbled word of a text with many copies would look more usual than the word it was. The least count that is let in is read off the numbers of words by count, so no task ever sorts a language's words;
     of words that are equally frequent all are in or none.
     """
     lang = F.coalesce(F.lower("lang"), F.lit(""))
+    texts = once(docs.where("text is not null").select(lang.alias("lang"), "text", F.xxhash64("text").alias("hash")), "lang", "hash")
     tokens = F.explode(F.split("text", "[ \\t\\r\\n0-9.,!?:;()/|]+"))
-    counts = docs.where("text is not null").select(lang.alias("lang"), tokens.alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.select("lang", tokens.alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts = cut(counts.where(F.col("n") >= LEAST_COUNT))
     of_count = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("of"))
     upto = F.sum("of").over(Window.partitionBy("lang").orderBy(F.desc("n")))

@@ -12,7 +12,8 @@ DE = "wo finde ich die praktische prüfung für gäste und die bücherei der sch
 
 
 def corpus():
-    return [("ru", " ".join(RU))] * 5 + [("en", " ".join(EN))] * 5 + [("de", " ".join(DE))] * 5 + [(None, None), ("ru", "")]
+    """Five texts of each language; equal ones would count once."""
+    return [(lang, f"{i} {' '.join(words)}") for lang, words in (("ru", RU), ("en", EN), ("de", DE)) for i in range(5)] + [(None, None), ("ru", "")]
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +68,7 @@ def test_a_lost_letter_comes_back_where_one_word_fits(scorer):
 @pytest.mark.parametrize("sign", ["€", "№ 5", "“today”", "«да»", "café", "\xa0— \xa0®"])
 def test_signs_that_are_bytes_of_letters_elsewhere_stay(spark, sign):
     # the letters are far more frequent than the signs
-    docs = spark.createDataFrame([("ru", "а й т у ь р щ")] * 400 + [("", f"it still {sign} open")] * 5, "lang string, text string")
+    docs = spark.createDataFrame([("ru", f"{i} а й т у ь р щ") for i in range(400)] + [("", f"{i} it still {sign} open") for i in range(5)], "lang string, text string")
     sc = encoding.Scorer(encoding.model(docs))
     assert encoding.repair(f"it still {sign} open?", sc) == (False, f"it still {sign} open?", [])
 
@@ -85,6 +86,17 @@ def test_vocabulary_is_cut_by_count(spark):
     got = {(r["lang"], r["word"]): r["n"] for r in encoding.vocabulary(docs, 3).collect()}
     assert got == {("ru", "раз"): 9, ("ru", "два"): 8, ("", "раз"): 3}
     assert len(encoding.vocabulary(docs, 4).collect()) == 5
+    assert {(r["word"], r["n"]) for r in encoding.vocabulary(docs.unionByName(docs), 4).collect()} == {("раз", 9), ("два", 8), ("три", 7), ("пять", 7), ("раз", 3)}
+
+
+def test_many_copies_of_a_garbled_text(spark):
+    """A third of all rows are copies of one text with a garbled word; the word it was stays clean everywhere else."""
+    bad = "когда начинается " + "обучение".encode("koi8_r").decode("cp1251") + " в колледже?"
+    rows = [("t", i, f"{i} когда начинается обучение в колледже?") for i in range(40)] + [("hot", i, bad) for i in range(400)]
+    texts = spark.createDataFrame(rows, "tbl string, rec_id long, text string")
+    docs = spark.createDataFrame(corpus(), "lang string, text string")
+    got = encoding.garbled_records(texts, docs).groupBy("tbl").count().collect()
+    assert [(r["tbl"], r["count"]) for r in got] == [("hot", 400)]
 
 
 def test_code_travels_to_executors(tmp_path):
@@ -97,7 +109,7 @@ from ladoga.workspace import local_session
 from ladoga.llm import encoding, mainbody
 spark = local_session(2, "2g")
 texts = spark.createDataFrame([("t", 1, "начинается приём документов".encode().decode("cp1251", "replace"))], "tbl string, rec_id long, text string")
-docs = spark.createDataFrame([("ru", "начинается приём документов")] * 5, "lang string, text string")
+docs = spark.createDataFrame([("ru", f"{{i}} начинается приём документов") for i in range(5)], "lang string, text string")
 assert encoding.garbled_records(texts, docs).count() == 1
 pages = spark.createDataFrame([(1, 1, "a", "<div><h1>a</h1><p>b</div>", "a\\nb")], "id long, source_id long, title string, raw_html string, clean_text string")
 assert mainbody.main_bodies(pages).count() == 1
