@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladoga.workspace import cut
+from ladoga.workspace import cut, once
 
 #: What is read -> what may stand on the paper, with the probability of the confusion.
 CONFUSIONS: dict[str, tuple[tuple[str, float], ...]] = {
@@ -227,7 +227,9 @@ def word_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.where("text is not null").select(split("text").alias("w")).where(F.size("w") > 0)
     pairs = texts.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p"))
     pairs = cut(pairs.select("p.a", F.coalesce("p.b", F.lit("")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
-    scans = docs.where("extracted_text is not null").select(F.explode(split("extracted_text")).alias("word"))
+    # equal scans count once: copies would make their misread words usual
+    scans = once(docs.where("extracted_text is not null").select("extracted_text", F.xxhash64("extracted_text").alias("hash")), "hash")
+    scans = scans.select(F.explode(split("extracted_text")).alias("word"))
     both = pairs.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("in_texts"), F.lit(0).cast("long").alias("in_scans")).unionByName(
         scans.groupBy("word").agg(F.lit(0).cast("long").alias("in_texts"), F.count(F.lit(1)).alias("in_scans"))
     )
