@@ -54,3 +54,14 @@ def test_neighbouring_misread_words_are_chosen_together(spark):
     texts = ["кит дым"] * 3 + ["кот"] * 4 + ["дом"] * 4 + ["вот", "там"] * 4  # each alone is more frequent as another word
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(100, None, "вот к~т д~м там")], "doc_id long, text string, extracted_text string")
     assert scan.repaired_texts(docs).head()["repaired"] == "вот кит дым там"
+
+
+def test_copies_of_a_scan_dont_make_its_misread_words_usual(spark):
+    base = docs(spark).drop("line")
+    bad = base.where("doc_id = 2").head()["extracted_text"]
+    copies = spark.createDataFrame([(1000 + i, None, bad) for i in range(40)], "doc_id long, text string, extracted_text string")
+    got = scan.found_noise(base.unionByName(copies)).where("doc_id in (2, 1000, 1039)").collect()
+    rows = {}
+    for r in got:
+        rows.setdefault(r["doc_id"], set()).add((r["line_no"], r["kind"]))
+    assert rows[2] == rows[1000] == rows[1039] == {(0, "header"), (5, "header"), (4, "page_number"), (13, "page_number"), (1, "hyphen"), (2, "misread"), (3, "misread"), (8, "misread")}
