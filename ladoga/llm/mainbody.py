@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ladoga.llm.encoding import Scorer, model, repair
 from ladoga.llm.markup import read, squeeze
-from ladoga.workspace import broadcast_within, cut
+from ladoga.workspace import broadcast_within, cut, once
 
 #: A line is repeated in a source if it stands on this many pages and this share of them.
 MIN_PAGES = 3
@@ -44,7 +44,7 @@ _DIGITS = re.compile("[0-9]+")
 
 LAYOUT = (
     "id long, source_id long, line_no array<int>, line array<long>, chars array<int>, row array<boolean>, heading int, "
-    "block array<int>, links array<int>, tags array<int>, parent array<int>, path array<string>"
+    "block array<int>, links array<int>, tags array<int>, parent array<int>, path array<string>, same long"
 )
 
 
@@ -121,7 +121,7 @@ def _layouts(words: "object"):
         scorer = Scorer(words.value)
         for pdf in batches:
             for part in range(0, len(pdf), 500):
-                rows = [(r.id, r.source_id, *_layout(r.title, r.raw_html, r.clean_text, scorer)) for r in pdf.iloc[part : part + 500].itertuples()]
+                rows = [(r.id, r.source_id, *_layout(r.title, r.raw_html, r.clean_text, scorer), xxhash.xxh64_intdigest(r.clean_text) - (1 << 63)) for r in pdf.iloc[part : part + 500].itertuples()]
                 yield pd.DataFrame(rows, columns=names)
 
     return run
@@ -141,6 +141,8 @@ def _flagged(pages: DataFrame, often: DataFrame) -> DataFrame:
 
 def repeated_keys(pages: DataFrame) -> DataFrame:
     """``source_id, line, share``: keys of the lines repeated in each source, at most 1/MIN_SHARE times a page's lines."""
+    # pages of one text count once: the body of a page with many copies would look repeated
+    pages = cut(once(pages.select("source_id", "same", "line"), "source_id", "same"))
     totals = pages.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
     counts = pages.select("source_id", F.explode(F.array_distinct("line")).alias("line")).groupBy("source_id", "line").agg(F.count(F.lit(1)).alias("pages"))
     hot = counts.where(F.col("pages") >= MIN_PAGES).join(broadcast_within(totals), "source_id")

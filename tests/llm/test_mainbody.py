@@ -35,6 +35,15 @@ def test_body_is_found_with_and_without_markup(spark):
     assert text[5] == "\n".join(page(5)[2]) and text[100] is None or text[100] == ""
 
 
+def test_copies_of_a_page_keep_their_body(spark):
+    """A third of all rows are copies of one page without markup, under ids of their own."""
+    df = frame(spark)
+    html, text, body = page(17)
+    copies = spark.createDataFrame([(500 + i, 1, body[0], None, text, 0) for i in range(16)], df.schema)
+    got = {r["page_id"]: (r["body"], r["around"]) for r in main_bodies(df.unionByName(copies)).collect()}
+    assert all(got[i] == ([6, 7, 8], [0, 1, 2, 3, 4, 9, 10, 11]) for i in [*range(30), *range(500, 516)])
+
+
 def test_empty(spark):
     assert main_bodies(frame(spark).limit(0)).count() == 0
 
