@@ -31,6 +31,9 @@ def test_the_best_of_blocks_are_the_best_of_all(spark, monkeypatch, rows, querie
         got = lexical.both_top_k(docs, terms, k)
         want = lexical.top_k(lexical.bm25(docs, terms), k), lexical.top_k(lexical.tf_saturation(docs, terms), k)
         assert [ranked(x) for x in got] == [ranked(x) for x in want]
+    prefixes = terms.selectExpr("query_id", "substring(term, 1, 4) AS prefix").distinct()
+    assert ranked(lexical.prefix_top_k(docs, prefixes, 10)) == ranked(lexical.top_k(lexical.bm25_prefix(docs, prefixes), 10))
+    assert lexical.prefix_top_k(docs, prefixes.limit(0), 10).count() == 0
     empty = lexical.both_top_k(docs.limit(0), terms, 10) + lexical.both_top_k(docs, terms.limit(0), 10)
     assert [x.count() for x in empty] == [0, 0, 0, 0]
 
@@ -43,7 +46,7 @@ def shuffled_rows(spark):
 
 
 #: Queries that rank all texts for many questions.
-OF_BLOCKS = ["fuse_rrf"]
+OF_BLOCKS = ["fuse_rrf", "bm25_prefix"]
 
 
 @pytest.mark.parametrize("name", OF_BLOCKS)
