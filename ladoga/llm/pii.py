@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladoga.workspace import cut, once
@@ -50,7 +50,7 @@ def _forms(name: str) -> set[str]:
 
 NAMES = frozenset().union(*map(_forms, GIVEN))
 #: A word is a given name if it stands before this many patronymics, or beside this many surnames, and this share of its
-#: occurrences is of that kind. At most so many names, the most frequent, are sent along.
+#: occurrences is of that kind. Up to so many names are sent along; if there are more, each text gets those that it has.
 PATRONYMICS, SURNAMES, SHARE = 2, 3, 0.6
 MOST_NAMES = 50_000
 _W = r"[^\W\d_]"
@@ -154,8 +154,8 @@ def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([x for t in pdf["text"] if t for x in name_evidence(t)], columns=["stem", "beside"])
 
 
-def given_names(texts: DataFrame) -> frozenset[str]:
-    """Stems of the given names that the texts show, at most MOST_NAMES; those of the list among them. Equal texts count once."""
+def learned_names(texts: DataFrame) -> DataFrame:
+    """``stem`` of each given name that the texts show; those of the list among them. Equal texts count once."""
     each = once(texts.where("text is not null").select("text", F.xxhash64("text").alias("hash")), "hash").select("text").mapInPandas(_evidence, "stem string, beside string")
     by = each.groupBy("stem", "beside").agg(F.count(F.lit(1)).alias("n"))
     by = by.groupBy("stem").agg(
@@ -163,11 +163,12 @@ def given_names(texts: DataFrame) -> frozenset[str]:
         F.count(F.when(F.col("beside").startswith("+"), True)).alias("before"), F.count(F.when(~F.col("beside").startswith("+"), True)).alias("surnames"),
     )
     enough = (F.col("before") >= PATRONYMICS) | (F.col("surnames") >= SURNAMES)
-    found = cut(by.where(enough & (F.length("stem") > 1) & (F.col("named") >= SHARE * F.col("all"))).select("stem", F.col("named").alias("n")))
-    upto = found.groupBy("n").agg(F.count(F.lit(1)).alias("of")).withColumn("upto", F.sum("of").over(Window.orderBy(F.desc("n"))))
-    least = upto.where(F.col("upto") <= MOST_NAMES).agg(F.min("n").alias("n")).head()["n"]
-    learned = found.where(F.col("n") >= least).select("stem").collect() if least else []
-    return frozenset(r["stem"] for r in learned)
+    return cut(by.where(enough & (F.length("stem") > 1) & (F.col("named") >= SHARE * F.col("all"))).select("stem"))
+
+
+def given_names(texts: DataFrame) -> frozenset[str]:
+    """The stems of ``learned_names``, all of them."""
+    return frozenset(r["stem"] for r in learned_names(texts).collect())
 
 
 def _names(text: str, learned: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, float]]:
@@ -252,11 +253,26 @@ LEAST = 2.0
 KINDS = ("name", "phone", "email", "idnum", "address")
 
 
-def _spans(names: "object"):
+def _stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(a, b, s) for a, b, t in zip(pdf["tbl"], pdf["rec_id"], pdf["text"]) if t for s in {name_stem(w) for w in RE_WORD.findall(t) if len(w) > 2}]
+        yield pd.DataFrame(rows, columns=["tbl", "rec_id", "stem"]).astype({"rec_id": "Int64"})
+
+
+def _with_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``texts`` with ``stems``, those of the names that each text has; null if it has none."""
+    words = texts.select("tbl", "rec_id", "text").mapInPandas(_stems, "tbl string, rec_id long, stem string")
+    own = words.join(names, "stem").groupBy(F.col("tbl").alias("of_tbl"), F.col("rec_id").alias("of_id")).agg(F.collect_set("stem").alias("stems"))
+    return texts.join(own, F.col("tbl").eqNullSafe(F.col("of_tbl")) & F.col("rec_id").eqNullSafe(F.col("of_id")), "left").drop("of_tbl", "of_id")
+
+
+def _spans(names: "object" = None):
+    """With ``names`` for all texts, or the ``stems`` of each."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        learned = names.value
         for pdf in batches:
-            found = [find_spans(t, learned) if t else [] for t in pdf["text"]]
+            learned = [names.value] * len(pdf) if names else [frozenset() if s is None else frozenset(s) for s in pdf["stems"]]
+            found = [find_spans(t, n) if t else [] for t, n in zip(pdf["text"], learned)]
             clean = []
             for text, spans in zip(pdf["text"], found):
                 for kind, a, b in reversed(spans):
@@ -276,8 +292,11 @@ def redact(texts: DataFrame) -> DataFrame:
     """
     schema = "tbl string, rec_id long, redacted string, spans array<struct<kind: string, start_pos: int, end_pos: int>>"
     texts = once(texts.select("tbl", F.col("rec_id").cast("long").alias("rec_id"), "text"), "tbl", "rec_id")
-    names = texts.sparkSession.sparkContext.broadcast(given_names(texts))
-    return texts.mapInPandas(_spans(names), schema)
+    names = learned_names(texts)
+    if names.count() > MOST_NAMES:
+        return _with_names(texts, names).mapInPandas(_spans(), schema)
+    learned = frozenset(r["stem"] for r in names.collect())
+    return texts.mapInPandas(_spans(texts.sparkSession.sparkContext.broadcast(learned)), schema)
 
 
 def found_spans(texts: DataFrame) -> DataFrame:

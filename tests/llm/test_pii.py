@@ -74,3 +74,14 @@ def test_words_nearby_decide_about_addresses_and_numbers():
     assert [k for k, *_ in pii.find_spans("живу по адресу ул. Заречная, 46/5")] == ["address"]
     assert pii.find_spans("выставка на ул. Заречная, 46") == []
     assert [k for k, *_ in pii.find_spans("4510 123456 — номер документа")] == ["idnum"] and pii.find_spans("4510 123456 — 5 штук") == []
+
+
+def test_more_names_than_are_sent_along_are_all_used(spark, monkeypatch):
+    names = ["Зульфии", "Гульнары", "Айгули"]
+    rows = [(f"t{n}", i, f"Заявление от {n} {s}") for n in names for i, s in enumerate(["Громовой", "Ветровой", "Лесовой"])]
+    rows += [("q", 1, "меня зовут зульфия ветрова и гульнара громова"), ("q", None, "это айгуль лесова"), (None, None, "тут гульнара ветрова"), ("q", 3, None), ("q", 4, ""), ("q", 1, "меня зовут зульфия ветрова и гульнара громова")]
+    texts = spark.createDataFrame(rows, "tbl string, rec_id long, text string")
+    want = sorted(map(str, pii.redact(texts).collect()))
+    monkeypatch.setattr(pii, "MOST_NAMES", 1)
+    assert sorted(map(str, pii.redact(texts).collect())) == want and len(want) == 14
+    assert sum("[NAME] и [NAME]" in r or "это [NAME]" in r or "тут [NAME]" in r for r in want) == 3
