@@ -46,7 +46,7 @@ def shuffled_rows(spark):
 
 
 #: Queries that rank all texts for many questions.
-OF_BLOCKS = ["fuse_rrf", "bm25_prefix", "hybrid_pipeline", "eval_report", "pack_budget", "sufficiency", "contained_evidence", "evidence_select", "fuse_rrf0", "dedup_url_prefix", "extractive_answer", "fuse_weighted"]
+OF_BLOCKS = ["fuse_rrf", "bm25_prefix", "hybrid_pipeline", "eval_report", "pack_budget", "sufficiency", "contained_evidence", "evidence_select", "fuse_rrf0", "dedup_url_prefix", "extractive_answer", "fuse_weighted", "threshold_filter"]
 
 
 @pytest.mark.parametrize("name", OF_BLOCKS)
